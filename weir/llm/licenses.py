@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weir.llm.common import stash
+
 # Base phrases and their labels.
 PHRASES = {
     "mit license": "mit",
@@ -26,13 +28,13 @@ TEMPLATES = {
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words of text with A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of text in lower case; null has none. Letters beyond A-Z change too, which alters neither the number of
+    words nor what equals a phrase."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _gram(words: Column, at: Column, k: int) -> Column:
@@ -58,67 +60,74 @@ def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
 
         spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0))), stands)
         spots = F.when(F.array_contains(words, parts[-1]), spots).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
+        return F.transform(spots, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))).cast("array<struct<at:int,label:string>>")
 
     out = [places(phrase.split(" "), label) for phrase, label in phrases.items()]
-    return F.concat(*out)
+    return F.concat(*out).cast("array<struct<at:int,label:string>>")
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 4, near: int = 3, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified license spans: (id, label, start, stop, votes, score).
+def votes(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table with a row per text: (row, id, n_words, places, hits). hits are the (label, t_len, i, at) where the
+    word k-gram at i equals the template's at `at`; they come from a join of all rolling k-grams with the templates.
 
-    Each word k-gram of a text that equals one of a template's votes for the diagonal text position minus
-    template position. Votes are counted by (text, label, diagonal); diagonals at most `near` apart are merged
-    (words inserted or left out inside a notice). A merged span is verified: the share of the template's words
-    that its matching k-grams cover, counting a template position once, must reach `least`; that is its score.
-    Null, empty and short texts have no span; repeated notices give a span each; rows with the same id are one text.
+    Each text also sends one row with i = -1 through the join, so a text is scanned and cut into words once.
+    """
+    grams = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates, k)
+    none = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("label"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("t_len"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = own.select("row", "id", words_of(F.col("text")).alias("w"), F.contains(F.lower("text"), F.lit("license")).alias("maybe"))
+    own = own.select("row", "id", "w", F.when(F.col("maybe"), phrase_places(F.col("w"))).alias("p"))
+    own = own.select("row", "id", "w", "p", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - k, F.lit(-1)))).alias("i"))
+    gram = F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(_gram(F.col("w"), F.col("i"), k))
+    rows = own.select("row", "id", "i", F.when(F.col("i") < 0, F.size("w")).alias("n"), F.when(F.col("i") < 0, F.col("p")).alias("p"), gram.alias("gram"))
+    rows = rows.join(F.broadcast(grams.unionByName(none)), "gram").where("(i < 0) = (label is null)")
+    hit = F.when(F.col("i") >= 0, F.struct("label", "t_len", "i", "at"))
+    table = rows.groupBy("row").agg(F.first("id", True).alias("id"), F.max("n").cast("long").alias("n_words"), F.first("p", True).alias("places"), F.collect_list(hit).alias("hits"))
+    return stash(table, "votes")
+
+
+def license_spans(table: DataFrame, k: int = 4, near: int = 3, least: float = 0.6) -> DataFrame:
+    """Verified license spans of votes(): (row, label, start, stop, votes, score).
+
+    Votes are counted by (text, label, diagonal), a diagonal being text position minus template position; diagonals
+    at most `near` apart are merged (words inserted or left out inside a notice). A merged span is verified: the share
+    of the template's words that its matching k-grams cover, counting a template position once, must reach `least`.
     """
-    spark = docs.sparkSession
-    grams = F.broadcast(template_grams(spark, TEMPLATES if templates is None else templates, k))
-    own = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    own = own.where(F.size("w") >= k).select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i"))
-    hits = own.select("id", "i", _gram(F.col("w"), F.col("i"), k).alias("gram")).join(grams, "gram")
-    hits = hits.select("id", "label", "t_len", "i", "at", (F.col("i") - F.col("at")).alias("diagonal"))
-    lines = hits.groupBy("id", "label", "t_len", "diagonal").agg(
+    hits = table.where(F.size("hits") > 0).select("row", F.inline("hits")).withColumn("diagonal", F.col("i") - F.col("at"))
+    lines = hits.groupBy("row", "label", "t_len", "diagonal").agg(
         F.count(F.lit(1)).alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.collect_set("at").alias("ats")
     )
-    of = Window.partitionBy("id", "label").orderBy("diagonal")
+    of = Window.partitionBy("row", "label").orderBy("diagonal")
     lines = lines.withColumn("gap", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(of) > near).cast("int"), F.lit(1)))
     lines = lines.withColumn("run", F.sum("gap").over(of))
-    spans = lines.groupBy("id", "label", "t_len", "run").agg(
-        F.sum("votes").alias("votes"), F.min("lo").alias("start"), (F.max("hi") + k).alias("stop"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")
+    spans = lines.groupBy("row", "label", "t_len", "run").agg(
+        F.sum("votes").alias("votes"), F.min("lo").alias("start"), (F.max("hi") + k).alias("stop"), F.flatten(F.collect_list("ats")).alias("ats")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (k - 1))))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct("ats"), lambda a: F.sequence(a, a + (k - 1))))))
     spans = spans.withColumn("score", covered / F.col("t_len"))
-    return spans.where(F.col("score") >= least).select("id", "label", "start", "stop", "votes", "score")
+    return spans.where(F.col("score") >= least).select("row", "label", "start", "stop", "votes", "score")
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", **spans) -> DataFrame:
-    """One row per text: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = 4, near: int = 3, least: float = 0.6) -> DataFrame:
+    """One row per row of docs: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans).
 
     base_* hold the places of PHRASES; labels adds those of license_spans; score is 1 where a phrase stands,
-    else the best span's. Null or empty: no words, no labels, null first and last, score 0.
+    else the best span's. Null or empty: no words, no labels, null first and last, score 0. Repeated notices give a
+    span each; repeated ids are scanned row by row.
     """
-    found = license_spans(docs, templates, id_col=id_col, text_col=text_col, **spans)
-    found = found.groupBy("id").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"), F.count(F.lit(1)).alias("n_spans"))
-    own = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    own = own.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.array_contains("w", "license"), phrase_places(F.col("w"))).alias("p"))
-    own = own.select(
-        "id",
-        "n_words",
-        F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(F.transform("p", lambda x: x["at"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("p", lambda x: x["at"])).cast("long").alias("last_word"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("p", lambda x: x["label"]))), F.array().cast("array<string>")).alias("base"),
-    )
-    both = own.join(found, "id", "left")
+    table = votes(docs, templates, k, id_col, text_col)
+    found = license_spans(table, k, near, least)
+    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"), F.count(F.lit(1)).alias("n_spans"))
     none = F.array().cast("array<string>")
+    at, base = F.transform("places", lambda x: x["at"]), F.transform("places", lambda x: x["label"])
+    both = table.join(found, "row", "left").withColumn("n_base", F.coalesce(F.size("places"), F.lit(0)))
+    both = both.withColumn("n_base", F.greatest("n_base", F.lit(0)).cast("long")).withColumn("base", F.coalesce(F.array_sort(F.array_distinct(base)), none))
     return both.select(
         "id",
         "n_words",
-        F.when(F.col("n_base") > 0, F.col("n_base")).otherwise(0).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
+        "n_base",
+        F.array_min(at).cast("long").alias("first_word"),
+        F.array_max(at).cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", none)))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0))).alias("score"),
