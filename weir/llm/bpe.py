@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-LEAF = 16_384
+LEAF = 32_768
 #: Pieces remembered by a Python worker.
 PIECES = 600_000
 #: Characters of the texts whose new pieces are encoded in one call.
@@ -136,89 +136,95 @@ class Bpe:
             elif piece:
                 yield None, self.normalizer.normalize_str(piece) if self.normalizer else piece
 
-    def node(self, text: str) -> Node:
-        e = self.part.encode(text, add_special_tokens=False)
-        return Node(text, e)
+    def tokens(self, text: str, inner: bool = False) -> Tokens:
+        return Tokens.of((self.inner if inner else self.part).encode(text, add_special_tokens=False))
 
-    def join(self, a: Node, b: Node, least: int = 4) -> Node:
-        """The encoding of a.text + b.text."""
-        cut, text, k = len(a.text), a.text + b.text, least
-        na, nb = len(a.ids), len(b.ids)
+    def edges(self, a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], m: int):
+        """Tokens of a's end and of b's beginning, at least m characters each, cut at blanks (which part pieces)."""
+        cut = a[0].rfind(" ", 0, max(0, len(a[0]) - m))
+        s = max(0, cut)
+        cut = b[0].find(" ", m)
+        e = cut if cut >= 0 else len(b[0])
+        return self.tokens(a[0][s:]).shifted(s), self.tokens(b[0][:e]).shifted(len(a[0])), s == 0, e == len(b[0])
+
+    def join(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray], least: int = 4, around: int = 256) -> tuple[str, np.ndarray]:
+        """(text, ids) of the two texts put together: windows of `least` tokens on each side of the cut, doubled until
+        both sides agree; if nothing agrees, the whole of both is encoded again."""
+        text, k = left[0] + right[0], least
 
         def letters(p: int) -> bool:  # p is between two letters, whose runs every scan keeps together
             return 0 < p < len(text) and all(x.isalpha() and x < "ɐ" for x in text[p - 1 : p + 1])
 
         while True:
-            i, j = max(0, na - k), min(nb, k)
-            while i and not (a.head[i] or a.start[i] == a.end[i - 1] and letters(a.start[i])):
-                i -= 1
-            while j < nb and not (b.head[j] or b.start[j] == b.end[j - 1] and letters(cut + b.start[j])):
-                j += 1
-            s = int(a.start[i]) if i else 0
-            e = len(text) if j == nb else cut + int(b.start[j])
-            w = self.node(text[s:e]).shifted(s)
-            agree = True
-            if j < nb:
+            a, b, from_start, to_end = self.edges(left, right, around)
+            na, nb = len(a.ids), len(b.ids)
+            while True:
+                i, j = max(0, na - k), min(nb, k)
+                while i and not (a.head[i] or a.start[i] == a.end[i - 1] and letters(a.start[i])):
+                    i -= 1
+                while j < nb and not (b.head[j] or b.start[j] == b.end[j - 1] and letters(b.start[j])):
+                    j += 1
+                s = int(a.start[i]) if i else (0 if from_start else int(a.start[0]) if na else None)
+                e = int(b.start[j]) if j < nb else (len(text) if to_end else int(b.end[-1]) if nb else None)
+                if s is None or e is None:
+                    break
+                w = self.tokens(text[s:e]).shifted(s)
                 last = int(np.flatnonzero(w.head)[-1]) if len(w.ids) else 0
-                if b.head[j]:
-                    mine = int(np.flatnonzero(b.head[:j])[-1])
-                    agree = bool(len(w.ids)) and w.start[last] == cut + b.start[mine] and np.array_equal(w.ids[last:], b.ids[mine:j])
-                else:
+                agree = True
+                if j < nb and not b.head[j]:  # the window ends inside a word
                     run = text[w.start[last] : e] if len(w.ids) else ""
                     agree = run.isalpha() and run < "ɐ"
                     if agree:
-                        w = w.cut(0, last).plus(Node(run, self.inner.encode(run, add_special_tokens=False)).shifted(int(w.start[last])))
-                        w.head[last] = True
-                        agree = w.ids[-1] == b.ids[j - 1] and w.start[-1] == cut + b.start[j - 1]
-            if i and not a.head[i] and agree:
-                agree = w.ids[0] == a.ids[i] and w.end[0] == a.end[i]
-                w.head[0] = False
-            if agree or (i == 0 and j == nb):
-                return a.cut(0, i).plus(w).plus(b.cut(j, nb).shifted(cut), text)
-            k *= 2
-
-
-class Node:
-    """Tokens of a text: ids, first and last character, and whether a token begins a pre-tokenizer's piece."""
-
-    def __init__(self, text: str, e=None, arrays=None):
-        self.text = text
-        if e is not None:
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            word = np.array([-1, *e.word_ids], np.int64)
-            arrays = np.array(e.ids, np.uint32), spans[:, 0], spans[:, 1], word[1:] != word[:-1]
+                        w = w.cut(0, last).plus(self.tokens(run, True).shifted(int(w.start[last])))
+                        agree = w.ids[-1] == b.ids[j - 1] and w.start[-1] == b.start[j - 1]
+                elif j < nb or not to_end:
+                    mine = int(np.flatnonzero(b.head[:j])[-1])
+                    agree = bool(len(w.ids)) and w.start[last] == b.start[mine] and np.array_equal(w.ids[last:], b.ids[mine:j])
+                if i and not a.head[i] and agree:
+                    agree = w.ids[0] == a.ids[i] and w.end[0] == a.end[i]
+                if agree:
+                    return text, np.concatenate([left[1][: len(left[1]) - na + i], w.ids, right[1][j:]])
+                if i == 0 and j == nb:
+                    break
+                k *= 2
+            if from_start and to_end:
+                return text, self.tokens(text).ids
+            around *= 4
+
+    def tree(self, leaves: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        """Neighbours joined in pairs, level by level."""
+        while len(leaves) > 1:
+            pairs = [leaves[n : n + 2] for n in range(0, len(leaves), 2)]
+            leaves = [self.join(*p) if len(p) == 2 else p[0] for p in pairs]
+        return leaves[0][1]
+
+
+class Tokens:
+    """Tokens with their first and last character, and whether one begins a pre-tokenizer's piece."""
+
+    def __init__(self, *arrays):
         self.ids, self.start, self.end, self.head = arrays
 
-    def cut(self, i: int, j: int) -> Node:
-        return Node("", arrays=tuple(x[i:j].copy() for x in (self.ids, self.start, self.end, self.head)))
-
-    def shifted(self, by: int) -> Node:
-        return Node(self.text, arrays=(self.ids, self.start + by, self.end + by, self.head))
-
-    def plus(self, other: Node, text: str = "") -> Node:
-        pairs = zip((self.ids, self.start, self.end, self.head), (other.ids, other.start, other.end, other.head), strict=True)
-        return Node(text, arrays=tuple(np.concatenate(p) for p in pairs))
-
-    def row(self) -> dict:
-        return {"text": self.text, "ids": self.ids.astype("<u4").tobytes(), "start": self.start.tobytes(), "end": self.end.tobytes(), "head": self.head.tobytes()}
-
     @staticmethod
-    def of(row: dict) -> Node:
-        return Node(row["text"], arrays=(np.frombuffer(row["ids"], "<u4"), np.frombuffer(row["start"], np.int64), np.frombuffer(row["end"], np.int64), np.frombuffer(row["head"], bool)))
+    def of(e) -> Tokens:
+        spans, word = np.array(e.offsets, np.int64).reshape(-1, 2), np.array([-1, *e.word_ids], np.int64)
+        return Tokens(np.array(e.ids, np.uint32), spans[:, 0], spans[:, 1], word[1:] != word[:-1])
 
+    def cut(self, i: int, j: int) -> Tokens:
+        return Tokens(*(x[i:j] for x in (self.ids, self.start, self.end, self.head)))
 
-_NODE = "id long, seg int, node int, text string, ids binary, start binary, end binary, head binary"
+    def shifted(self, by: int) -> Tokens:
+        return Tokens(self.ids, self.start + by, self.end + by, self.head)
 
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
+    def plus(self, other: Tokens) -> Tokens:
+        pairs = zip((self.ids, self.start, self.end, self.head), (other.ids, other.start, other.end, other.head), strict=True)
+        return Tokens(*(np.concatenate(p) for p in pairs))
 
 
 def encode(docs: DataFrame, path: str, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers, one row per row of docs.
 
-    Null and empty texts have no ids. Ids must be unique for texts longer than a leaf; tokens are those of the whole text.
+    Null and empty texts have no ids. Ids must be distinct for texts longer than a leaf.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark, length = docs.sparkSession, F.length("text")
@@ -248,38 +254,19 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, id_col: str = "doc_id",
     parts = parts.repartition(F.col("id"), F.col("seg"), F.col("node"))
 
     def encoded(batches):
-        bpe, out = Bpe.of(path), _arrow(_NODE)
+        bpe = Bpe.of(path)
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                node = bpe.node(r["text"])
-                if r["special"] is not None:
-                    node = Node("", arrays=(np.array([r["special"]], np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool)))
-                rows.append({k: r[k] for k in ("id", "seg", "node")} | node.row())
-            yield pa.RecordBatch.from_pylist(rows, out)
-
-    nodes = parts.mapInArrow(encoded, _NODE)
+            ids = [_packed([s]) if s is not None else bpe.tokens(t).ids.astype("<u4").tobytes() for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ids, pa.binary())], ["id", "seg", "node", "text", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["node"])
-        node = Node.of(rows[0])
-        if len(rows) == 2:
-            node = Bpe.of(path).join(node, Node.of(rows[1]))
-        return pa.Table.from_pylist([{"id": rows[0]["id"], "seg": rows[0]["seg"], "node": rows[0]["node"] // 2} | node.row()], _arrow(_NODE))
-
-    # normalising may lengthen a text, by no more than threefold
-    for _ in range(max(1, -(-3 * longest // leaf) - 1).bit_length()):
-        nodes = nodes.withColumn("pair", F.expr("node div 2")).groupBy("id", "seg", "pair").applyInArrow(_pairs(joined), _NODE)
-    roots = nodes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("s"))
-    ids = F.aggregate("s", F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x["ids"]))
-    return done.unionByName(roots.select("id", ids.alias("ids")))
-
-
-def _pairs(f):
-    def g(table: pa.Table) -> pa.Table:
-        return f(table.drop_columns(["pair"]) if "pair" in table.column_names else table)
+        bpe, segs = Bpe.of(path), {}
+        for r in sorted(table.to_pylist(), key=lambda r: (r["seg"], r["node"])):
+            segs.setdefault(r["seg"], []).append((r["text"], np.frombuffer(r["ids"], "<u4")))
+        return pa.table({"id": table.column("id")[:1], "ids": pa.array([b"".join(bpe.tree(x).astype("<u4").tobytes() for x in segs.values())], pa.binary())})
 
-    return g
+    nodes = parts.mapInArrow(encoded, "id long, seg int, node int, text string, ids binary")
+    return done.unionByName(nodes.groupBy("id").applyInArrow(joined, "id long, ids binary"))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
