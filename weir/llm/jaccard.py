@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id): distinct five-word shingles and the least id reachable by links of 0.8.
 
     Ids are distinct longs; rows with a null id are left out. A text of fewer words is one shingle; null and empty texts
@@ -228,9 +229,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table([_links(ids[x:y], ids[x:y], linked(sets[x:y], sets[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)])
 
     bucket = F.pmod(F.xxhash64("cluster"), F.lit(parts_for(spark, n_near, 300)))
-    links = near.where(F.col("size") <= BLOCK).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(small, _LINK)
+    links = near.where(F.col("size") <= block).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(small, _LINK)
 
-    large = near.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = near.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     # the leaders: those of the first hash values, about LEADERS in a cluster
     leads = large.where(F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("size") / LEADERS)) == 0)
@@ -250,18 +251,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         main = count.groupBy("cluster").agg(F.max(F.struct("n", "c")).alias("m")).select("cluster", F.col("m.c").alias("main"))
         rest = state.join(main, "cluster").where(F.col("c") != F.col("main")).select(*near.columns, "blocks")
         count = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("r"))
-        rest = rest.join(count, "cluster").withColumn("queries", F.ceil(F.col("r") / BLOCK).cast("int"))
+        rest = rest.join(count, "cluster").withColumn("queries", F.ceil(F.col("r") / block).cast("int"))
         rest = stash(rest.withColumn("query", F.pmod(F.xxhash64("id", F.lit(3)), F.col("queries")).cast("int")), "rest")
         asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = large.join(rest.select("cluster", "queries").distinct(), "cluster").withColumn("query", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)))
 
-        def across(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = ("cluster", "query", "block")
+        tasks = asked.select(*keys, "id", "hashes", F.lit(True).alias("asks"))
+        tasks = tasks.unionByName(every.select(*keys, "id", "hashes", F.lit(False).alias("asks")))
+
+        def across(table: pa.Table) -> pa.Table:
+            asks = table.column("asks")
+            left, right = table.filter(asks), table.filter(pc.invert(asks))
             if not len(left) or not len(right):
                 return _table([])
             return _table([_links(left.column("id").to_numpy(), right.column("id").to_numpy(), linked(_sets(left), _sets(right)))])
 
-        keys = ("cluster", "query", "block")
-        more = asked.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(across, _LINK)
+        more = tasks.groupBy(*keys).applyInArrow(across, _LINK)
         first = first.unionByName(more)
     groups = components(first)
     named = measured.join(reps, "set", "left").join(groups, F.col("rep") == F.col("node"), "left")
