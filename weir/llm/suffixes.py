@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.common import mix, parts_for, powers, prefix_hash
 
-SPAN, GRAM = 50, 20
+SPAN, GRAM = 50, 26
 _LOW = np.uint64((1 << 20) - 1)
 #: Bytes scanned at once: arrays of eight times that stay in cache, and positions fit in 20 bits.
 _SCAN = 1 << 17
@@ -236,6 +237,30 @@ def _several(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return distinct, place, lo < hi
 
 
+def _among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(x), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+
+
+def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    """(anchor, id, start, body) rows, columns one after another, compressed."""
+    anchors, ids, starts, bodies = zip(*rows, strict=True)
+    columns = np.array([len(rows)], np.uint32), np.array([len(b) for b in bodies], np.uint16), np.array(ids, np.int64), np.array(starts, np.int64), np.array(anchors, np.uint32)
+    return zstandard.ZstdCompressor(1).compress(b"".join([*(c.tobytes() for c in columns), *bodies]))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out, at = [], 4
+    for kind in (np.uint16, np.int64, np.int64, np.uint32):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    ends = (at + np.cumsum(out[0], dtype=np.int64)).tolist()
+    return out[3], out[1], out[2], [data[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)]
+
+
 def _documents(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     table = table.sort_by("id")
     return table.column("id").to_numpy(), table.column("data").to_pylist()
@@ -273,12 +298,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
         keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
         every = np.sort(np.concatenate(keys))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(k, twice)).tobytes() for k in keys]
+        bits = [np.packbits(_among(k, twice)).tobytes() for k in keys]
         return pa.table({"g": table.column("g"), "p": table.column("p"), "bits": pa.array(bits, pa.binary())})
 
     def send(docs: pa.Table, bits: pa.Table) -> pa.Table:
         """Snippets at shared anchors, each content from the least document of the group only."""
-        out = {"shard": [], "g": [], "h": [], "id": [], "start": [], "body": []}
+        shards: dict[int, list] = {}
         if len(docs):
             g = docs.column("g")[0].as_py()
             ids, texts = _documents(docs)
@@ -291,25 +316,32 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             first: dict[bytes, int] = {}
             pick = np.flatnonzero(shared[place])
             shard = (h[pick] >> np.uint64(8)) % np.uint64(groups)
-            for r, s, n, k, a in zip(row[pick].tolist(), start[pick].tolist(), length[pick].tolist(), shard.tolist(), h[pick].view(np.int64).tolist(), strict=True):
+            anchor = (h[pick] >> np.uint64(32)).tolist()
+            names = ids.tolist()
+            for r, s, n, k, a in zip(row[pick].tolist(), start[pick].tolist(), length[pick].tolist(), shard.tolist(), anchor, strict=True):
                 body = texts[r][s : s + n]
                 if first.setdefault(body, r) == r:
-                    for name, x in zip(out, (k, g, a, ids[r], s, body), strict=True):
-                        out[name].append(x)
-        kinds = {"shard": pa.int32(), "g": pa.int32(), "h": pa.int64(), "id": pa.int64(), "start": pa.int64(), "body": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+                    shards.setdefault(k, []).append((a, names[r], s, body))
+        else:
+            g = 0
+        order = sorted(shards)
+        return pa.table({"shard": pa.array(order, pa.int32()), "g": pa.array([g] * len(order), pa.int32()), "rows": pa.array([_pack(shards[k]) for k in order], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
         """Removed ranges of the snippets of a shard."""
-        table = table.sort_by([("id", "ascending"), ("start", "ascending")])
-        ids, begin, bodies = table.column("id").to_numpy(), table.column("start").to_numpy(), table.column("body").to_pylist()
+        parts = [_unpack(x) for x in table.column("rows").to_pylist()]
+        groups = np.repeat(table.column("g").to_numpy(), [len(p[3]) for p in parts])
+        anchors, ids, begin = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        bodies = [b for p in parts for b in p[3]]
+        order = np.lexsort((begin, ids))
+        groups, anchors, ids, begin, bodies = groups[order], anchors[order], ids[order], begin[order], [bodies[n] for n in order.tolist()]
         first: dict[bytes, int] = {}
         for n, b in enumerate(bodies):
             first.setdefault(b, n)
         own = np.fromiter(first.values(), np.int64, len(first))
         out = []
         # windows of a snippet that is its anchor's only content stand nowhere else
-        _, place, contents = np.unique(table.column("h").to_numpy()[own], return_inverse=True, return_counts=True)
+        _, place, contents = np.unique(anchors[own], return_inverse=True, return_counts=True)
         own = own[contents[place] > 1]
         for n, owner in zip(own.tolist(), owners([bodies[n] for n in own.tolist()], ids[own], span), strict=True):
             lost = np.concatenate([[False], owner < ids[n], [False]])
@@ -317,8 +349,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
                 edge = np.flatnonzero(lost[1:] != lost[:-1])
                 out += [(n, int(begin[n] + a), int(begin[n] + b - 1 + span)) for a, b in edge.reshape(-1, 2)]
         out += [(n, int(begin[n]), int(begin[n]) + len(b)) for n, b in enumerate(bodies) if ids[first[b]] < ids[n]]
-        pick = pa.array([x[0] for x in out], pa.int64())
-        return pa.table({"g": table.column("g").take(pick), "id": table.column("id").take(pick), "start": pa.array([x[1] for x in out], pa.int64()), "stop": pa.array([x[2] for x in out], pa.int64())})
+        pick = np.array([x[0] for x in out], np.int64)
+        return pa.table({"g": pa.array(groups[pick], pa.int32()), "id": pa.array(ids[pick], pa.int64()), "start": pa.array([x[1] for x in out], pa.int64()), "stop": pa.array([x[2] for x in out], pa.int64())})
 
     def clear(docs: pa.Table, ranges: pa.Table) -> pa.Table:
         """Take out the ranges found by the shards, and what an earlier document of the group holds in full."""
@@ -351,6 +383,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
 
     by_group = own.groupBy("g")
     bits = by_group.applyInArrow(ask, "p int, g int, keys binary").groupBy("p").applyInArrow(answer, "g int, p int, bits binary")
-    sent = by_group.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, h long, id long, start long, body binary")
+    sent = by_group.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, rows binary")
     ranges = sent.groupBy("shard").applyInArrow(judge, "g int, id long, start long, stop long")
     return by_group.cogroup(ranges.groupBy("g")).applyInArrow(clear, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
