@@ -1,8 +1,74 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, repeated passages, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weir.llm.common import stash
+from weir.llm.jaccard import jaccard_groups
+from weir.llm.line_chunks import dedup_lines
+from weir.llm.packing_query import packed
+from weir.llm.quality import document_statistics, quality_rules
+from weir.llm.suffixes import remove_repeats
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs in its old columns, n_chars counting the new text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    return docs.select(*columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    kept = quality_rules(document_statistics(docs)).where("kept").select(F.col("id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go; a document of which no word is left goes with them."""
+    out = _with_text(dedup_lines(docs), docs.columns)
+    return out.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the least id."""
+    first = jaccard_groups(docs).where("id = component_id").select(F.col("id").alias("_kept"))
+    return docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that a smaller document already has go, and what is then no whole character with them."""
+    kept = remove_repeats(docs).select(F.col("id").alias("_id"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_text"), F.col("kept").alias("_kept"))
+    whole = F.coalesce("_text", F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit("")))
+    out = docs.drop("text").join(kept.select("_id", whole.alias("text")), F.col("doc_id") == F.col("_id"))
+    return _with_text(out, docs.columns).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_duplicates),
+    ("suffix_array", passages),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None  # SQL can't express its stages; tests compare with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
