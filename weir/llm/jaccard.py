@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning of the global shingle order.
 
 The global order is that of the shingles' 64-bit hashes. Sets are put into size classes so that linked sets are in the
-same or in adjacent ones; for a class the order is cut into more fragments than linked sets can have differences, so two
-linked sets agree on a whole fragment, and only sets that share a fragment are candidates (exact; nothing is sampled).
+same or in adjacent ones; for a class the order is cut into twice as many fragments as linked sets can have differences, so two
+linked sets agree on many whole fragments. Only sets that share so many of theirs stay, and those that then share one
+are candidates (exact; nothing is sampled).
 Candidates are compared by counting overlaps fragment by fragment and summing per pair, in blocks of bounded size. A
 cluster of candidates larger than a block first links each block and a few leaders; then only the sets outside its
 largest component meet the other blocks, so that a large group of near copies costs in proportion to its size.
@@ -29,7 +30,7 @@ while BOUNDS[-1] < 1 << 40:
 BOUNDS = np.array(BOUNDS)
 #: Differences that linked sets of a class (the smaller may be of the class below) can have, and fragments.
 DIFFERENCES = (2 * (BOUNDS[1:] - 1)) // 9
-FRAGMENTS = -(-6 * (DIFFERENCES + 1) // 5)
+FRAGMENTS = 2 * (DIFFERENCES + 1)
 
 
 def set_ids(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -39,30 +40,77 @@ def set_ids(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)), 0)
 
 
-def signatures(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number): one for each non-empty fragment of each set, under its class and the next.
+def fragments(hashes: np.ndarray, ends: np.ndarray, up: int) -> tuple[np.ndarray, ...]:
+    """Non-empty fragments of the sets under their class (up 0) or the next one (up 1): where each begins in hashes, its
+    set's number, its place in the order, and the classes by set."""
+    n = np.diff(ends)
+    c = np.maximum(np.searchsorted(BOUNDS, n, "right") - 1, 0) + up
+    frag = ((hashes >> np.uint64(32)) * np.repeat(FRAGMENTS[c], n).astype(np.uint64)) >> np.uint64(32)
+    of = np.repeat(np.arange(len(n)), n)
+    head = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.zeros(0, np.int64)
+    return head, of[head], frag[head], c
+
+
+def differences(n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Differences that sets of n elements can have from sets linked with them, under class c."""
+    return np.minimum(n // 4, DIFFERENCES[c])
+
+
+def spare(hashes: np.ndarray, ends: np.ndarray, up: int) -> np.ndarray:
+    """How many of a set's fragments a linked set of that class has too, at least; 1 where it may be an empty one."""
+    _, who, _, c = fragments(hashes, ends, up)
+    n = np.diff(ends)
+    return np.maximum(1, np.bincount(who, minlength=len(n)) - differences(n, c))
 
-    Two sets with at most D differences and more than D fragments agree on one. That one is not empty if either set
-    has more than D non-empty fragments; a set with fewer also gives its empty fragments.
+
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, up): one for each non-empty fragment of each set, under its class and the next.
+
+    A difference spoils one fragment at most. If both of two linked sets have no more non-empty fragments than they may
+    have differences, the agreeing ones can all be empty; such sets give their empty fragments too.
     """
     n = np.diff(ends)
-    own = np.searchsorted(BOUNDS, n, "right") - 1
-    mixed, top = mix(hashes), hashes >> np.uint64(32)
-    of = np.repeat(np.arange(len(n)), n)
+    mixed = mix(hashes)
     out = []
     for up in (0, 1):
-        c = np.maximum(own, 0) + up
-        k = FRAGMENTS[c]
-        frag = (top * np.repeat(k, n).astype(np.uint64)) >> np.uint64(32)
-        head = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.zeros(0, np.int64)
-        who, tag = of[head], mix((c[of[head]].astype(np.uint64) << np.uint64(40)) + frag[head] + np.uint64(1))
+        head, who, frag, c = fragments(hashes, ends, up)
+        tag = mix((c[who].astype(np.uint64) << np.uint64(40)) + frag + np.uint64(1))
         sums = np.add.reduceat(mixed, head) if len(head) else mixed
-        out.append((mix(sums ^ tag), who))
+        out.append((mix(sums ^ tag), who, np.full(len(who), up, np.uint8)))
         few = np.flatnonzero((np.bincount(who, minlength=len(n)) <= DIFFERENCES[c]) & (n > 0))
         for s in few.tolist():
-            empty = np.setdiff1d(np.arange(k[s]), frag[ends[s] : ends[s + 1]].astype(np.int64))
-            out.append((mix(~mix((np.uint64(c[s]) << np.uint64(40)) + empty.astype(np.uint64) + np.uint64(1))), np.full(len(empty), s)))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            empty = np.setdiff1d(np.arange(FRAGMENTS[c[s]]), frag[who == s].astype(np.int64)).astype(np.uint64)
+            empty = mix(~mix((np.uint64(c[s]) << np.uint64(40)) + empty + np.uint64(1)))
+            out.append((empty, np.full(len(empty), s), np.full(len(empty), up, np.uint8)))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
+def deal(hashes: np.ndarray, ends: np.ndarray, names: np.ndarray, parts: int) -> pa.RecordBatch | None:
+    """Signatures of sets (called by their names) dealt over the parts: a row per part with columns of keys, names, ups."""
+    sig, who, up = signatures(hashes, ends)
+    if not len(sig):
+        return None
+    part = (sig % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((who, part))
+    part, columns = part[order], ((sig[order] >> np.uint64(32)).astype(np.uint32), names[who[order]], up[order])
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    used = np.unique(part).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for x in columns)], ["p", "keys", "names", "ups"])
+
+
+_DEALT = "p int, keys binary, names binary, ups binary"
+
+
+def agreeing(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, up, least name) of a part's entries whose fragment two sets or more have."""
+    keys, names, ups = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint32), ("names", np.int64), ("ups", np.uint8)))
+    order = np.argsort(keys, kind="stable")
+    keys, names, ups = keys[order], names[order], ups[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(head, len(keys)))
+    least, most = np.minimum.reduceat(names, head), np.maximum.reduceat(names, head)
+    pick = np.repeat(least != most, size)
+    return names[pick], ups[pick], np.repeat(least, size)[pick]
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -151,17 +199,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def measure(batches):
         for b in batches:
             data, offs = utf8(b.column(1))
-            n, sets = [], []
+            n, sets, spares = [], [], []
             for lo, hi in slices(offs):
                 h, ends = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], WORDS)
                 n.append(np.diff(ends))
                 sets.append(set_ids(h, ends))
+                spares.append([spare(h, ends, up) for up in (0, 1)])
             if n:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "set"])
+                arrays = [np.concatenate(n), np.concatenate(sets).view(np.int64), *(np.concatenate([x[up] for x in spares]) for up in (0, 1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in arrays)], ["id", "n", "set", "least0", "least1"])
 
-    measured = stash(own.mapInArrow(measure, "id long, n long, set long"), "sets")
-    reps = measured.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"))
-    parts = parts_for(spark, measured.agg(F.sum("n")).first()[0] or 0, 2_500_000)
+    measured = stash(own.mapInArrow(measure, "id long, n long, set long, least0 long, least1 long"), "sets")
+    reps = measured.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("least0").alias("least0"), F.max("least1").alias("least1"))
+    parts = parts_for(spark, measured.agg(F.sum("n")).first()[0] or 0, 2_000_000)
 
     def sign(batches):
         for b in batches:
@@ -178,47 +228,53 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first = np.zeros(len(ids), bool)  # a set once
                 first[np.unique(ids, return_index=True)[1]] = True
                 first &= ids != 0
-                n = np.where(first, np.diff(ends), 0)
                 h = h[np.repeat(first, np.diff(ends))]
-                if not len(h):
-                    continue
-                sig, who = signatures(h, np.concatenate([[0], np.cumsum(n)]))
-                part = (sig % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((who, part))
-                part, keys, sets = part[order], (sig[order] >> np.uint64(32)).astype(np.uint32), ids[who[order]]
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                used = np.unique(part).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), pa.array([sets[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], ["p", "keys", "sets"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        """Sets with equal fragments: each with the least of them."""
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
-        sets = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sets").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys, sets = keys[order], sets[order]
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        least = np.repeat(np.minimum.reduceat(sets, head), np.diff(np.append(head, len(keys))))
-        other = sets != least
-        a, b = least[other], sets[other]
-        pick = np.unique(mix(a) ^ mix(b + np.uint64(7)), return_index=True)[1]
-        return _table([(a[pick].view(np.int64), b[pick].view(np.int64))])
-
-    shared = own.mapInArrow(sign, "p int, keys binary, sets binary").groupBy("p").applyInArrow(meet, _LINK)
-    clusters = components(shared)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "component").join(reps, F.col("node") == F.col("set")).select(F.col("rep").alias("id"), F.col("component").alias("cluster"), "size")
-    texts = own.join(members, "id")
+                out = deal(h, np.concatenate([[0], np.cumsum(np.where(first, np.diff(ends), 0))]), ids.view(np.int64), parts)
+                if out is not None:
+                    yield out
+
+    def count(table: pa.Table) -> pa.Table:
+        """How many of a set's fragments others have."""
+        names, ups, _ = agreeing(table)
+        order = np.lexsort((ups, names))
+        names, ups = names[order], ups[order]
+        head = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (ups[1:] != ups[:-1])])) if len(names) else np.zeros(0, np.int64)
+        return pa.table({"set": pa.array(names[head]), "up": pa.array(ups[head], pa.int32()), "c": pa.array(np.diff(np.append(head, len(names))), pa.int64())})
+
+    counts = own.mapInArrow(sign, _DEALT).groupBy("p").applyInArrow(count, "set long, up int, c long")
+    counts = counts.groupBy("set").agg(F.sum(F.when(F.col("up") == 0, F.col("c"))).alias("c0"), F.sum(F.when(F.col("up") == 1, F.col("c"))).alias("c1"))
+    stay = reps.join(counts, "set").where("c0 >= least0 or c1 >= least1").select(F.col("rep").alias("_rep"))
 
     def gather(batches):
         for b in batches:
-            data, offs = utf8(b.column(3))
+            data, offs = utf8(b.column(1))
             out = []
             for lo, hi in slices(offs):
                 h, ends = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], WORDS)
                 out += [h[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["id", "cluster", "size", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "hashes"])
 
-    near = stash(texts.select("id", "cluster", "size", "text").mapInArrow(gather, "id long, cluster long, size long, hashes binary"), "near")
+    sets = stash(own.join(stay, F.col("id") == F.col("_rep"), "left_semi").mapInArrow(gather, "id long, hashes binary"), "near")
+
+    def sign_again(batches):
+        for b in batches:
+            rows = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            for at in range(0, len(rows), 1000):
+                some = rows[at : at + 1000]
+                out = deal(np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])]), b.column(0).to_numpy()[at : at + 1000], parts)
+                if out is not None:
+                    yield out
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Sets with equal fragments: each with the least of them."""
+        names, _, least = agreeing(table)
+        pair = np.unique(np.stack([least, names], 1)[least != names], axis=0)
+        return _table([(pair[:, 0], pair[:, 1])])
+
+    clusters = components(sets.mapInArrow(sign_again, _DEALT).groupBy("p").applyInArrow(meet, _LINK))
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
+    near = stash(sets.join(members, F.col("id") == F.col("node")).select("id", "cluster", "size", "hashes"), "clusters")
     n_near = near.count()
 
     def small(table: pa.Table) -> pa.Table:
@@ -270,5 +326,5 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = tasks.groupBy(*keys).applyInArrow(across, _LINK)
         first = first.unionByName(more)
     groups = components(first)
-    named = measured.join(reps, "set", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    named = measured.select("id", "n", "set").join(reps.select("set", "rep"), "set", "left").join(groups, F.col("rep") == F.col("node"), "left")
     return named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
