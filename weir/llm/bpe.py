@@ -14,19 +14,23 @@ import os
 import re
 import struct
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LEAF = 32_768
-#: Pieces remembered by a Python worker.
-PIECES = 600_000
+#: Chunks between white space that a Python worker remembers.
+REMEMBERED = 400_000
 #: Characters of the texts whose new pieces are encoded in one call.
 TOGETHER = 1_000_000
+#: Rows of a result batch.
+ROWS = 500
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -46,18 +50,9 @@ class Bpe:
     """A tokenizers file: encode, decode, and the parts that a join needs."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        spec = json.loads(open(path, encoding="utf-8").read())
-        spec["truncation"] = spec["padding"] = None
-        self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.normalizer = self.whole.normalizer
+        spec, self.path = self._spec(path), path
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        part = spec | {"normalizer": None, "added_tokens": [], "post_processor": None}
-        self.part = Tokenizer.from_str(json.dumps(part))
-        part["model"] = spec["model"] | {"end_of_word_suffix": None}
-        self.inner = Tokenizer.from_str(json.dumps(part))  # for what ends inside a word
         self.pattern = self._latin_pattern(spec)
         self.chunks: dict[str, bytes] = {}  # what stands between white space -> its ids
         size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
@@ -65,6 +60,35 @@ class Bpe:
         for s, i in [*spec["model"]["vocab"].items(), *self.specials.items()]:
             self.strings[i] = s
         self.plain = spec["decoder"] is None
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.last = np.array([bool(suffix) and s.endswith(suffix) for s in self.strings])
+        self.remembered = REMEMBERED
+
+    @staticmethod
+    def _spec(path: str) -> dict:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f) | {"truncation": None, "padding": None}
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is in the file."""
+        return Tokenizer.from_str(json.dumps(self._spec(self.path)))
+
+    @cached_property
+    def part(self):
+        """For text that is already normalised and has no special tokens."""
+        return Tokenizer.from_str(json.dumps(self._spec(self.path) | {"normalizer": None, "added_tokens": [], "post_processor": None}))
+
+    @cached_property
+    def inner(self):
+        """Like part, for what ends inside a word."""
+        spec = self._spec(self.path) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        spec["model"]["end_of_word_suffix"] = None
+        return Tokenizer.from_str(json.dumps(spec))
+
+    @cached_property
+    def normalizer(self):
+        return self.whole.normalizer
 
     @staticmethod
     def of(path: str) -> Bpe:
@@ -107,19 +131,30 @@ class Bpe:
 
     def _remembered(self, group: list, out: list) -> None:
         """White space parts the pieces, so each chunk between it is encoded once and remembered."""
-        chunks = self.chunks
-        new = set().union(*(c for _, c in group)) - chunks.keys()
-        if len(chunks) + len(new) > PIECES:
+        chunks, here = self.chunks, set().union(*(c for _, c in group))
+        new = here - chunks.keys()
+        if len(chunks) + len(new) > self.remembered:  # keep what is in use
+            kept = {c: chunks[c] for c in here - new}
             chunks.clear()
-            new = set().union(*(c for _, c in group))
+            chunks.update(kept)
         parts = {c: self.pattern.findall(c) for c in new}
-        words = list({w for p in parts.values() for w in p})
-        ids = {w: _packed(e.ids) for w, e in zip(words, self.part.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        ids = self._words(list({w for p in parts.values() for w in p}))
         for c, p in parts.items():
-            chunks[c] = b"".join([ids[w] for w in p])
+            chunks[c] = ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p])
         for n, c in group:
             out[n] = b"".join(map(chunks.__getitem__, c))
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each a piece of its own: all in one call, parted after the tokens that end a word."""
+        if not words:
+            return {}
+        ids = np.array(self.part.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return {w: _packed(e.ids) for w, e in zip(words, self.part.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        data = ids.astype("<u4").tobytes()
+        return {w: data[4 * i : 4 * j] for w, i, j in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
     def decode(self, ids: bytes) -> str:
         ids = np.frombuffer(ids, "<u4").tolist()
         if self.plain:
@@ -221,7 +256,13 @@ class Tokens:
         return Tokens(*(np.concatenate(p) for p in pairs))
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _small(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers, one row per row of docs.
 
     Null and empty texts have no ids. Ids must be distinct for texts longer than a leaf.
@@ -231,7 +272,8 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, id_col: str = "doc_id",
 
     def short(batches):
         bpe = Bpe.of(path)
-        for b in batches:
+        bpe.remembered = remembered
+        for b in _small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.encode(b.column(1).to_pylist()), pa.binary())], ["id", "ids"])
 
     done = own.where(length <= leaf).mapInArrow(short, "id long, ids binary")
@@ -274,7 +316,7 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
 
     def text(batches):
         bpe = Bpe.of(path)
-        for b in batches:
+        for b in _small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["id", "ids", "text"])
 
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(text, "id long, ids binary, text string")
