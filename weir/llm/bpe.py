@@ -34,14 +34,10 @@ ROWS = 500
 _LOADED: dict[str, Bpe] = {}
 
 
+# What isn't Latin-1, and the separators that Python takes for white space and the pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
 
 
-def _simple(text: str) -> bool:
-    """Latin-1 without the separators that Python takes for white space and the pattern doesn't."""
-    return not _ODD.search(text)
-
-
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -118,31 +114,46 @@ class Bpe:
         out: list = [None] * len(texts)
         group, size = [], 0
         for n, text in enumerate(texts):
-            if self.pattern is None or not _simple(text) or self.split and self.split.search(text):
+            if self.simple(text):
+                group.append((n, text.lower().split()))
+                size += len(text)
+                if size >= TOGETHER:
+                    self._remembered(group, out)
+                    group, size = [], 0
+            else:
                 out[n] = _packed(self.whole.encode(text, add_special_tokens=False).ids)
-                continue
-            group.append((n, text.lower().split()))
-            size += len(text)
-            if size >= TOGETHER:
-                self._remembered(group, out)
-                group, size = [], 0
         self._remembered(group, out)
         return out
 
+    def simple(self, text: str) -> bool:
+        """Whether what stands between white space can be encoded for itself, in lower case."""
+        return self.pattern is not None and not _ODD.search(text) and not (self.split and self.split.search(text))
+
+    def encode_part(self, text: str) -> bytes:
+        """Ids of a text that is normalised and free of special tokens."""
+        if self.pattern is None or _ODD.search(text):
+            return _packed(self.part.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        out = [b""]
+        self._remembered([(0, text.split())], out)
+        return out[0]
+
     def _remembered(self, group: list, out: list) -> None:
         """White space parts the pieces, so each chunk between it is encoded once and remembered."""
-        chunks, here = self.chunks, set().union(*(c for _, c in group))
-        new = here - chunks.keys()
-        if len(chunks) + len(new) > self.remembered:  # keep what is in use
-            kept = {c: chunks[c] for c in here - new}
+        chunks = self.chunks
+        if len(chunks) > self.remembered:  # keep what is in use
+            kept = {c: chunks[c] for c in set().union(*(c for _, c in group)) & chunks.keys()}
             chunks.clear()
             chunks.update(kept)
-        parts = {c: self.pattern.findall(c) for c in new}
-        ids = self._words(list({w for p in parts.values() for w in p}))
-        for c, p in parts.items():
-            chunks[c] = ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p])
-        for n, c in group:
-            out[n] = b"".join(map(chunks.__getitem__, c))
+        found = [list(map(chunks.get, c)) for _, c in group]
+        new = {w for (_, c), ids in zip(group, found, strict=True) for w, i in zip(c, ids, strict=True) if i is None}
+        if new:
+            parts = {c: self.pattern.findall(c) for c in new}
+            chunks.update(self._words([w for w in {w for p in parts.values() for w in p} if w not in chunks]))
+            for c, p in parts.items():
+                if len(p) != 1 or p[0] != c:
+                    chunks[c] = b"".join([chunks[w] for w in p])
+        for (n, c), ids in zip(group, found, strict=True):
+            out[n] = b"".join([i if i is not None else chunks[w] for w, i in zip(c, ids, strict=True)])
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, each a piece of its own: all in one call, parted after the tokens that end a word."""
@@ -165,6 +176,9 @@ class Bpe:
 
     def segments(self, text: str):
         """(special id or None, normalised text): special tokens stand alone, as in the library."""
+        if self.simple(text):
+            yield None, text.lower()
+            return
         for piece in self.split.split(text) if self.split else [text]:
             if piece in self.specials:
                 yield self.specials[piece], ""
@@ -268,7 +282,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEM
     Null and empty texts have no ids. Ids must be distinct for texts longer than a leaf.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spark, length = docs.sparkSession, F.length("text")
+    length = F.length("text")
 
     def short(batches):
         bpe = Bpe.of(path)
@@ -277,10 +291,6 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEM
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.encode(b.column(1).to_pylist()), pa.binary())], ["id", "ids"])
 
     done = own.where(length <= leaf).mapInArrow(short, "id long, ids binary")
-    longest = own.agg(F.max(length)).first()[0] or 0
-    if longest <= leaf:
-        return done
-
     def leaves(batches):
         bpe = Bpe.of(path)
         for b in batches:
@@ -298,7 +308,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEM
     def encoded(batches):
         bpe = Bpe.of(path)
         for b in batches:
-            ids = [_packed([s]) if s is not None else bpe.tokens(t).ids.astype("<u4").tobytes() for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            ids = [_packed([s]) if s is not None else bpe.encode_part(t) for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ids, pa.binary())], ["id", "seg", "node", "text", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:

@@ -161,10 +161,11 @@ def extract_text(pages: DataFrame, html_col: str = "html", id_cols: tuple[str, .
     row each, and a page's whole source counts."""
     own = pages.select(*id_cols, F.col(html_col).cast("string").alias("_html"))
     keep = own.drop("_html").schema
+    names = [*keep.names, "text", "n_chars"]
 
     def f(batches):
         for b in batches:
             texts = [main_text(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep.names, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
     return own.mapInArrow(f, keep.add("text", "string").add("n_chars", "long"))
