@@ -7,13 +7,15 @@ move boundaries only nearby. Chunks of several lines that stand elsewhere too, b
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weir.llm.common import stash
+from weir.llm.common import parts_for
+from weir.llm.exchange import shared, shared_bits
 
 #: Lines that the rolling hash sees, and one in how many of its values ends a chunk.
 ROLL, MEAN = 2, 3
@@ -57,57 +59,92 @@ def kept_text(text: str | None, gone) -> tuple[str | None, int]:
     return "\n".join(parts), lines
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): for each document that loses chunks, their places in it.
+def _hash(body: str) -> int:
+    return xxhash.xxh3_64_intdigest(body)
 
-    A first pass sends only hashes and finds those that occur twice; the chunks that have such a hash travel with
-    their bytes, are grouped by them, and all but the first of equal ones go. Ids are distinct longs.
-    """
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def cut(batches):
-        for b in batches:
-            ids, place, hashes, again, bodies = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen = set()
-                for n, c in enumerate(chunks(t)):
-                    if _several(c):
-                        body = "\n".join(c)
-                        ids.append(i)
-                        place.append(n)
-                        hashes.append(xxhash.xxh3_64_intdigest(body) - (1 << 63))
-                        again.append(body in seen)
-                        bodies.append(body)
-                        seen.add(body)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(hashes, pa.int64()), pa.array(again, pa.bool_()), pa.array(bodies, pa.string())], names)
-
-    names = ["id", "place", "hash", "again", "body"]
-    every = own.mapInArrow(cut, "id long, place int, hash long, again boolean, body string")
-    twice = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    held = stash(every.join(twice, "hash"), "chunks")
-    first = held.groupBy("hash", "body").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "body", "first")
-    gone = held.join(first, ["hash", "body"]).where("again or id > first")
-    return gone.groupBy("id").agg(F.collect_list("place").alias("gone"))
+
+def _documents(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list, list]:
+    """A group's rows by id, the rows that take part (with an id and a text), and their chunks."""
+    table = table.sort_by(id_col)
+    ids, texts = table.column(id_col).to_pylist(), table.column(text_col).to_pylist()
+    rows = [r for r, (i, t) in enumerate(zip(ids, texts, strict=True)) if i is not None and t is not None]
+    return table, rows, [["\n".join(c) if _several(c) else None for c in chunks(texts[r])] for r in rows]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text column cleared of repeated multi-line chunks, and lines_removed (long).
 
+    Documents travel once, in groups. Groups learn which of their chunks' hashes other groups have; such chunks, and
+    those that a group has twice, are sent with their bytes, each once a group, and equal ones tell each other their
+    least id. All but the first of equal chunks go.
+
     Documents with a null id or text stay as they are. Chunks of one line, and blank ones, are never removed; empty
-    tables give no rows; other columns pass through.
+    tables give no rows; other columns pass through, but for one called lines_removed, which is replaced.
     """
-    gone = repeated_chunks(docs, id_col, text_col)
-    key, places = "_weir_id", "_weir_gone"
-    gone = gone.select(F.col("id").alias(key), F.col("gone").alias(places))
-
-    @F.pandas_udf("text string, lines long")
-    def clear(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        rows = [kept_text(t, g) for t, g in zip(text, gone, strict=True)]
-        return pd.DataFrame({"text": [r[0] for r in rows], "lines": [r[1] for r in rows]})
-
-    both = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left")
-    lost = both.where(F.col(places).isNotNull()).withColumn("_weir_new", clear(F.col(text_col).cast("string"), F.col(places)))
-    lost = lost.withColumn(text_col, F.col("_weir_new.text")).withColumn("lines_removed", F.col("_weir_new.lines"))
-    same = both.where(F.col(places).isNull()).withColumn("lines_removed", F.lit(0).cast("long"))
-    columns = [*[c for c in docs.columns if c != "lines_removed"], "lines_removed"]
-    return same.select(*columns).unionByName(lost.select(*columns))
+    docs = docs.drop("lines_removed")
+    docs = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")})
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    spark = docs.sparkSession
+    groups, parts = parts_for(spark, total, 3 << 20), parts_for(spark, total, 64 << 20)
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text_col))
+    grouped = docs.withColumn("g", F.pmod(key, F.lit(groups)).cast("int")).groupBy("g")
+
+    def hashes(table: pa.Table) -> np.ndarray:
+        _, _, cut = _documents(table, id_col, text_col)
+        return np.unique(np.array([_hash(b) for c in cut for b in c if b is not None], np.uint64))
+
+    def send(table: pa.Table, bits: pa.Table) -> pa.Table:
+        """(shard, g, id, place, body) of the group's first of each chunk that may be repeated."""
+        out = {"shard": [], "g": [], "id": [], "place": [], "body": []}
+        if len(table):
+            g = table.column("g")[0].as_py()
+            table, rows, cut = _documents(table, id_col, text_col)
+            ids = table.column(id_col).to_pylist()
+            first: dict[str, list] = {}
+            for r, c in zip(rows, cut, strict=True):
+                for n, b in enumerate(c):
+                    if b is not None:
+                        first.setdefault(b, [r, n, 0])[2] += 1
+            hs = np.array([_hash(b) for b in first], np.uint64)
+            distinct, at = np.unique(hs, return_inverse=True)
+            elsewhere = shared(distinct, bits, parts)[at] if len(hs) else []
+            for (b, (r, n, _)), h, x in zip(first.items(), hs.tolist(), elsewhere, strict=True):
+                if x:
+                    for k, v in zip(out, (h % groups, g, ids[r], n, b), strict=True):
+                        out[k].append(v)
+        return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)})
+
+    def judge(table: pa.Table) -> pa.Table:
+        """The groups' chunks that a document with a smaller id has, by their first place in the group."""
+        ids, bodies = table.column("id").to_pylist(), table.column("body").to_pylist()
+        least: dict[str, int] = {}
+        for i, b in zip(ids, bodies, strict=True):
+            least[b] = min(i, least.get(b, i))
+        return table.select(["g", "id", "place"]).filter(pa.array([least[b] < i for i, b in zip(ids, bodies, strict=True)], pa.bool_()))
+
+    names = [*docs.columns, "lines_removed"]
+
+    def clear(table: pa.Table, late: pa.Table) -> pa.Table:
+        removed = [0] * len(table)
+        if len(table):
+            table, rows, cut = _documents(table, id_col, text_col)
+            ids, texts = table.column(id_col).to_pylist(), table.column(text_col).to_pylist()
+            gone_at, seen = set(zip(late.column("id").to_pylist(), late.column("place").to_pylist(), strict=True)), set()
+            gone_bodies = {c[n] for r, c in zip(rows, cut, strict=True) for n in range(len(c)) if c[n] is not None and (ids[r], n) in gone_at}
+            for r, c in zip(rows, cut, strict=True):
+                gone = []
+                for n, b in enumerate(c):
+                    if b is not None:
+                        if b in gone_bodies or b in seen:
+                            gone.append(n)
+                        seen.add(b)
+                texts[r], removed[r] = kept_text(texts[r], gone)
+            at = table.column_names.index(text_col)
+            table = table.set_column(at, text_col, pa.array(texts, table.column(text_col).type))
+        return table.drop_columns(["g"]).append_column("lines_removed", pa.array(removed, pa.int64())).select(names)
+
+    bits = shared_bits(grouped, hashes, parts)
+    sent = grouped.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, id long, place int, body string")
+    late = sent.groupBy("shard").applyInArrow(judge, "g int, id long, place int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())])
+    return grouped.cogroup(late.groupBy("g")).applyInArrow(clear, schema)

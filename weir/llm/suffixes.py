@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.common import mix, parts_for, powers, prefix_hash
+from weir.llm.exchange import shared, shared_bits
 
 SPAN, GRAM = 50, 26
 _LOW = np.uint64((1 << 20) - 1)
@@ -237,12 +238,6 @@ def _several(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return distinct, place, lo < hi
 
 
-def _among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(x), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
-
-
 def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
     """(anchor, id, start, body) rows, columns one after another, compressed."""
     anchors, ids, starts, bodies = zip(*rows, strict=True)
@@ -282,24 +277,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     groups, parts = parts_for(spark, total, 3 << 20), parts_for(spark, total, 12 << 20)
     own = own.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "data")
 
-    def ask(table: pa.Table) -> pa.Table:
-        """The group's distinct anchors, dealt over the parts."""
-        g = table.column("g")[0].as_py()
-        distinct = np.unique(snippets(_documents(table)[1], span)[3])
-        part = (distinct % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        distinct, part = (distinct[order] >> np.uint64(32)).astype(np.uint32), part[order]
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(p, distinct[cut[p] : cut[p + 1]].tobytes()) for p in np.unique(part).tolist()]
-        return pa.table({"p": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([g] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        """Which anchors of a part more than one group has; a bit each, in the group's order."""
-        keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(_among(k, twice)).tobytes() for k in keys]
-        return pa.table({"g": table.column("g"), "p": table.column("p"), "bits": pa.array(bits, pa.binary())})
+    def anchors(table: pa.Table) -> np.ndarray:
+        return np.unique(snippets(_documents(table)[1], span)[3])
 
     def send(docs: pa.Table, bits: pa.Table) -> pa.Table:
         """Snippets at shared anchors, each content from the least document of the group only."""
@@ -308,13 +287,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             g = docs.column("g")[0].as_py()
             ids, texts = _documents(docs)
             row, start, length, h = snippets(texts, span)
-            distinct, place, shared = _several(h, row)
-            part = (distinct % np.uint64(parts)).astype(np.int64)
-            for p, b in zip(bits.column("p").to_pylist(), bits.column("bits").to_pylist(), strict=True):
-                at = np.flatnonzero(part == p)
-                shared[at] |= np.unpackbits(np.frombuffer(b, np.uint8), count=len(at)).astype(bool)
+            distinct, place, several = _several(h, row)
             first: dict[bytes, int] = {}
-            pick = np.flatnonzero(shared[place])
+            pick = np.flatnonzero((several | shared(distinct, bits, parts))[place])
             shard = (h[pick] >> np.uint64(8)) % np.uint64(groups)
             anchor = (h[pick] >> np.uint64(32)).tolist()
             names = ids.tolist()
@@ -382,7 +357,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     by_group = own.groupBy("g")
-    bits = by_group.applyInArrow(ask, "p int, g int, keys binary").groupBy("p").applyInArrow(answer, "g int, p int, bits binary")
+    bits = shared_bits(by_group, anchors, parts)
     sent = by_group.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, rows binary")
     ranges = sent.groupBy("shard").applyInArrow(judge, "g int, id long, start long, stop long")
     return by_group.cogroup(ranges.groupBy("g")).applyInArrow(clear, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

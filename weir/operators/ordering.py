@@ -24,11 +24,11 @@ def with_position(df: DataFrame, order_by: str, name: str = "_pos", by: list[str
     shares = [F.lit(i / pieces) for i in range(1, pieces)]
     cuts = df.agg(F.percentile_approx(key, F.array(*shares), 10_000)).first()[0] if shares else []
     piece = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]), lambda c: c < key)) if cuts else F.lit(0)
-    df = df.withColumn("_piece", F.coalesce(F.when(key.isNull(), F.lit(-1)), piece))
-    counts = df.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_piece").orderBy(order_by)
-    df = df.withColumn("_at", F.row_number().over(inside) - 1)
-    joined = df.join(counts, [*by, "_piece"])
-    return joined.withColumn(name, F.col("_before") + F.col("_at")).drop("_piece", "_at", "_before")
+    df = df.withColumn("_weir_piece", F.coalesce(F.when(key.isNull(), F.lit(-1)), piece))
+    counts = df.groupBy(*by, "_weir_piece").agg(F.count(F.lit(1)).alias("_weir_n"))
+    before = Window.partitionBy(*by).orderBy("_weir_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_weir_piece", F.coalesce(F.sum("_weir_n").over(before), F.lit(0)).alias("_weir_before"))
+    inside = Window.partitionBy(*by, "_weir_piece").orderBy(order_by)
+    df = df.withColumn("_weir_at", F.row_number().over(inside) - 1)
+    joined = df.join(counts, [*by, "_weir_piece"])
+    return joined.withColumn(name, F.col("_weir_before") + F.col("_weir_at")).drop("_weir_piece", "_weir_at", "_weir_before")
