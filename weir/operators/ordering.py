@@ -20,7 +20,7 @@ def with_position(df: DataFrame, order_by: str, name: str = "_pos", by: list[str
     rows = df.count()
     pieces = max(1, -(-rows // per_task))
     if pieces == 1 and not by:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order_by)) - 1)
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(order_by)) - 1).cast("long"))
     shares = [F.lit(i / pieces) for i in range(1, pieces)]
     cuts = df.agg(F.percentile_approx(key, F.array(*shares), 10_000)).first()[0] if shares else []
     piece = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]), lambda c: c < key)) if cuts else F.lit(0)

@@ -102,7 +102,7 @@ def batch(size: int) -> Batch:
 
 
 def select(*columns) -> Select:
-    names = columns[0] if len(columns) == 1 and not isinstance(columns[0], str) else columns
+    names = columns[0] if len(columns) == 1 and isinstance(columns[0], list | tuple) else columns
     if not all(isinstance(c, str) for c in names):
         raise PipelineBuildError("select takes column names")
     return Select(tuple(names))

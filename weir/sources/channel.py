@@ -157,10 +157,12 @@ class MessageChannel:
         if self.closed:
             raise ChannelClosedError("closed")
         used, top = self._depth()
-        rows = M.admit(df, self.backpressure, self.capacity, self.slot_size, order_by, queued=used if self.backpressure != "drop_oldest" else 0)
         start = max(self._mark(), top)
-        rows = with_position(rows, order_by, "_pos")
-        rows = rows.select((F.col("_pos") + start).cast("long").alias("seq"), F.lit(producer).alias("producer"), F.col("payload"), F.crc32("payload").alias("checksum"))
+        if self.backpressure == "drop_oldest":  # evicted messages leave gaps in the sequence
+            rows = M.admit(with_position(df, order_by, "_pos"), self.backpressure, self.capacity, self.slot_size, order_by)
+        else:
+            rows = with_position(M.admit(df, self.backpressure, self.capacity, self.slot_size, order_by, queued=used), order_by, "_pos")
+        rows = rows.select((F.col("_pos") + start).cast("long").alias("seq"), F.lit(producer).cast("string").alias("producer"), F.col("payload"), F.crc32("payload").alias("checksum"))
         before = self._all().count()
         rows.write.mode("append").parquet(self._messages)
         return self._all().count() - before
