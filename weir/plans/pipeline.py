@@ -231,16 +231,23 @@ class _State:
         x = F.coalesce(Expression(spec.expr).value(self._visible()), F.lit(NAN)).alias(SCALAR)
         return self.with_items(x, scalar=True, batched=False)
 
+    def _called(self, fn, kind: T.DataType) -> Column:
+        """fn of the item: batches of the columns reach Python by Arrow, and dicts are built there."""
+        if self.batched or self.scalar:
+            return F.udf(lambda v: fn(_plain(v)), kind, useArrow=True)(self.value())
+        names = self.fields
+        if not names:
+            return F.udf(lambda: fn({}), kind)()
+        record = F.udf(lambda *v: fn({k: x for k, x in zip(names, v, strict=True) if x is not None}), kind, useArrow=True)
+        return record(*[F.col(f"`{c}`") for c in names])
+
     def _FilterPy(self, spec: S.FilterPy) -> _State:
         fn = spec.fn
-        if not self.batched and not self.scalar and not self.fields:
-            return self.where(F.udf(lambda: bool(fn({})), T.BooleanType())())
-        return self.where(F.udf(lambda v: bool(fn(_plain(v))), T.BooleanType())(self.value()))
+        return self.where(self._called(lambda v: bool(fn(v)), T.BooleanType()))
 
     def _MapPy(self, spec: S.MapPy) -> _State:
         fn, columns = spec.fn, spec.columns
-        kind = _record(columns) if columns else T.DoubleType()
-        v = F.udf(lambda v: _result(fn(_plain(v)), columns), kind)(self.value())
+        v = self._called(lambda v: _result(fn(v), columns), _record(columns) if columns else T.DoubleType())
         if not columns:
             return self.with_items(v.alias(SCALAR), scalar=True, batched=False)
         out = self.with_items(v.alias("_v"), scalar=False, batched=False)
