@@ -22,12 +22,12 @@ def among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
 
 
-def shared_bits(grouped, hashes: Callable[[pa.Table], np.ndarray], parts: int) -> DataFrame:
-    """(g, p, bits) for documents grouped by g: hashes(table) gives a group's distinct ascending 64-bit hashes. A part's
+def shared_bits(grouped, hashes: Callable[[pa.Table], np.ndarray], parts: int, by: str = "g") -> DataFrame:
+    """(g, p, bits) for documents grouped by the column `by`: hashes(table) gives a group's distinct ascending 64-bit hashes. A part's
     size is bounded by the number of groups times their keys in it; a hash that many documents have is sent once a group."""
 
     def ask(table: pa.Table) -> pa.Table:
-        g, own = table.column("g")[0].as_py(), hashes(table)
+        g, own = table.column(by)[0].as_py(), hashes(table)
         order, cut = _parts(own, parts)
         keys = (own[order] >> np.uint64(32)).astype(np.uint32)
         used = np.flatnonzero(np.diff(cut)).tolist()

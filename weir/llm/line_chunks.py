@@ -19,6 +19,8 @@ from weir.llm.exchange import shared, shared_bits
 
 #: Lines that the rolling hash sees, and one in how many of its values ends a chunk.
 ROLL, MEAN = 2, 3
+#: A name that no table has.
+GROUP = "_weir_group"
 _M64 = (1 << 64) - 1
 _TURN = 0x9E3779B97F4A7C15
 
@@ -87,7 +89,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     groups, parts = parts_for(spark, total, 3 << 20), parts_for(spark, total, 64 << 20)
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text_col))
-    grouped = docs.withColumn("g", F.pmod(key, F.lit(groups)).cast("int")).groupBy("g")
+    grouped = docs.withColumn(GROUP, F.pmod(key, F.lit(groups)).cast("int")).groupBy(GROUP)
 
     def hashes(table: pa.Table) -> np.ndarray:
         _, _, cut = _documents(table, id_col, text_col)
@@ -97,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """(shard, g, id, place, body) of the group's first of each chunk that may be repeated."""
         out = {"shard": [], "g": [], "id": [], "place": [], "body": []}
         if len(table):
-            g = table.column("g")[0].as_py()
+            g = table.column(GROUP)[0].as_py()
             table, rows, cut = _documents(table, id_col, text_col)
             ids = table.column(id_col).to_pylist()
             first: dict[str, list] = {}
@@ -141,9 +143,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts[r], removed[r] = kept_text(texts[r], gone)
             at = table.column_names.index(text_col)
             table = table.set_column(at, text_col, pa.array(texts, table.column(text_col).type))
-        return table.drop_columns(["g"]).append_column("lines_removed", pa.array(removed, pa.int64())).select(names)
+        return table.drop_columns([GROUP]).append_column("lines_removed", pa.array(removed, pa.int64())).select(names)
 
-    bits = shared_bits(grouped, hashes, parts)
+    bits = shared_bits(grouped, hashes, parts, GROUP)
     sent = grouped.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, id long, place int, body string")
     late = sent.groupBy("shard").applyInArrow(judge, "g int, id long, place int")
     schema = T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())])
