@@ -2,8 +2,8 @@
 
 The global order is that of the shingles' 64-bit hashes. Sets are put into size classes so that linked sets are in the
 same or in adjacent ones; for a class the order is cut into twice as many fragments as linked sets can have differences, so two
-linked sets agree on many whole fragments. Only sets that share so many of theirs stay, and those that then share one
-are candidates (exact; nothing is sampled).
+linked sets agree on many whole fragments. Only sets that share so many of theirs stay. Of these each keeps its rarest
+fragments, one more than a linked set can lack; sets that share one of those are candidates (exact; nothing is sampled).
 Candidates are compared by counting overlaps fragment by fragment and summing per pair, in blocks of bounded size. A
 cluster of candidates larger than a block first links each block and a few leaders; then only the sets outside its
 largest component meet the other blocks, so that a large group of near copies costs in proportion to its size.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import mix, parts_for, shingles, slices, stash, utf8
 from weir.llm.components import components
+from weir.llm.exchange import frequencies, frequency
 
 WORDS = 5
 BLOCK, LEADERS, FRAGMENT = 400, 8, 4096
@@ -85,32 +86,49 @@ def signatures(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def deal(hashes: np.ndarray, ends: np.ndarray, names: np.ndarray, parts: int) -> pa.RecordBatch | None:
-    """Signatures of sets (called by their names) dealt over the parts: a row per part with columns of keys, names, ups."""
-    sig, who, up = signatures(hashes, ends)
+def rarest(hashes: np.ndarray, ends: np.ndarray, sig: np.ndarray, who: np.ndarray, up: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Places of the signatures that find all links. A set has one signature more than a linked set can lack, taken in one
+    order for all sets, the rarest first: as two linked sets have enough in common, they have one of those in common.
+    Sets whose empty fragments count keep all. What only one set has finds nothing."""
+    n, few = np.diff(ends), []
+    for u in (0, 1):
+        _, of, _, c = fragments(hashes, ends, u)
+        few.append((np.bincount(of, minlength=len(n)) <= DIFFERENCES[c], differences(n, c)))
+    order = np.lexsort((sig, times, up, who))
+    w, u = who[order], up[order]
+    head = np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]) if len(w) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
+    most = np.where(u == 0, few[0][1][w], few[1][1][w])
+    every = np.where(u == 0, few[0][0][w], few[1][0][w])
+    return order[((np.arange(len(w)) - start <= most) | every) & (times[order] > 1)]
+
+
+def deal(sig: np.ndarray, parts: int, **columns: np.ndarray) -> pa.RecordBatch | None:
+    """Signatures dealt over the parts: a row per part with their 32-bit keys and the other columns, as bytes."""
     if not len(sig):
         return None
     part = (sig % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((who, part))
-    part, columns = part[order], ((sig[order] >> np.uint64(32)).astype(np.uint32), names[who[order]], up[order])
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    used = np.unique(part).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for x in columns)], ["p", "keys", "names", "ups"])
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(cut)).tolist()
+    columns = {"keys": (sig >> np.uint64(32)).astype(np.uint32), **columns}
+    values = [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for x in (x[order] for x in columns.values())]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *values], ["p", *columns])
 
 
-_DEALT = "p int, keys binary, names binary, ups binary"
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
 
-def agreeing(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, up, least name) of a part's entries whose fragment two sets or more have."""
-    keys, names, ups = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint32), ("names", np.int64), ("ups", np.uint8)))
+def agreeing(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries whose key two names or more have, and the least of those names."""
     order = np.argsort(keys, kind="stable")
-    keys, names, ups = keys[order], names[order], ups[order]
+    keys, names = keys[order], names[order]
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(head, len(keys)))
     least, most = np.minimum.reduceat(names, head), np.maximum.reduceat(names, head)
     pick = np.repeat(least != most, size)
-    return names[pick], ups[pick], np.repeat(least, size)[pick]
+    return order[pick], np.repeat(least, size)[pick]
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -229,21 +247,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first[np.unique(ids, return_index=True)[1]] = True
                 first &= ids != 0
                 h = h[np.repeat(first, np.diff(ends))]
-                out = deal(h, np.concatenate([[0], np.cumsum(np.where(first, np.diff(ends), 0))]), ids.view(np.int64), parts)
+                sig, who, up = signatures(h, np.concatenate([[0], np.cumsum(np.where(first, np.diff(ends), 0))]))
+                name = ids[who]
+                rest = ((name >> np.uint64(32)) & np.uint64(127)).astype(np.uint8)
+                out = deal(sig, parts, low=name.astype(np.uint32), high=rest * np.uint8(2) + up)
                 if out is not None:
                     yield out
 
     def count(table: pa.Table) -> pa.Table:
-        """How many of a set's fragments others have."""
-        names, ups, _ = agreeing(table)
-        order = np.lexsort((ups, names))
-        names, ups = names[order], ups[order]
-        head = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (ups[1:] != ups[:-1])])) if len(names) else np.zeros(0, np.int64)
-        return pa.table({"set": pa.array(names[head]), "up": pa.array(ups[head], pa.int32()), "c": pa.array(np.diff(np.append(head, len(names))), pa.int64())})
-
-    counts = own.mapInArrow(sign, _DEALT).groupBy("p").applyInArrow(count, "set long, up int, c long")
-    counts = counts.groupBy("set").agg(F.sum(F.when(F.col("up") == 0, F.col("c"))).alias("c0"), F.sum(F.when(F.col("up") == 1, F.col("c"))).alias("c1"))
-    stay = reps.join(counts, "set").where("c0 >= least0 or c1 >= least1").select(F.col("rep").alias("_rep"))
+        """How many of a set's fragments others have; sets go by 39 bits of their ids, and if two share those, both counts
+        grow, which drops neither."""
+        high = _column(table, "high", np.uint8)
+        names = _column(table, "low", np.uint32).astype(np.int64) + ((high >> 1).astype(np.int64) << 32)
+        at, _ = agreeing(_column(table, "keys", np.uint32), names)
+        both, times = np.unique(names[at] * 2 + (high[at] & 1), return_counts=True)
+        return pa.table({"name": pa.array(both >> 1), "up": pa.array((both & 1).astype(np.int32)), "c": pa.array(times, pa.int64())})
+
+    counts = own.mapInArrow(sign, "p int, keys binary, low binary, high binary").groupBy("p").applyInArrow(count, "name long, up int, c long")
+    counts = counts.groupBy("name").agg(F.sum(F.when(F.col("up") == 0, F.col("c"))).alias("c0"), F.sum(F.when(F.col("up") == 1, F.col("c"))).alias("c1"))
+    named = reps.withColumn("name", F.col("set").bitwiseAND(F.lit((1 << 39) - 1)))
+    stay = named.join(counts, "name").where("c0 >= least0 or c1 >= least1").select(F.col("rep").alias("_rep"))
 
     def gather(batches):
         for b in batches:
@@ -256,22 +279,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sets = stash(own.join(stay, F.col("id") == F.col("_rep"), "left_semi").mapInArrow(gather, "id long, hashes binary"), "near")
 
-    def sign_again(batches):
-        for b in batches:
-            rows = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            for at in range(0, len(rows), 1000):
-                some = rows[at : at + 1000]
-                out = deal(np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])]), b.column(0).to_numpy()[at : at + 1000], parts)
-                if out is not None:
-                    yield out
+    groups = parts_for(spark, sets.agg(F.sum(F.length("hashes"))).first()[0] or 0, 4 << 20)
+    grouped = sets.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("g")
+
+    def signed(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Ids, hashes and ends of a group's sets, and their signatures."""
+        table = table.sort_by("id")
+        rows = _sets(table)
+        h, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        return table.column("id").to_numpy(), h, ends, *signatures(h, ends)
+
+    def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if len(table):
+            ids, h, ends, sig, who, up = signed(table)
+            at = rarest(h, ends, sig, who, up, frequency(sig, answers, parts))
+            out = deal(sig[at], parts, names=ids[who[at]])
+            if out is not None:
+                return pa.Table.from_batches([out])
+        return pa.table({"p": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "names": pa.array([], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         """Sets with equal fragments: each with the least of them."""
-        names, _, least = agreeing(table)
-        pair = np.unique(np.stack([least, names], 1)[least != names], axis=0)
+        names = _column(table, "names", np.int64)
+        at, least = agreeing(_column(table, "keys", np.uint32), names)
+        pair = np.unique(np.stack([least, names[at]], 1)[least != names[at]], axis=0)
         return _table([(pair[:, 0], pair[:, 1])])
 
-    clusters = components(sets.mapInArrow(sign_again, _DEALT).groupBy("p").applyInArrow(meet, _LINK))
+    times = frequencies(grouped, lambda t: signed(t)[3], parts)
+    chosen = grouped.cogroup(times.groupBy("g")).applyInArrow(choose, "p int, keys binary, names binary")
+    clusters = components(chosen.groupBy("p").applyInArrow(meet, _LINK))
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
     near = stash(sets.join(members, F.col("id") == F.col("node")).select("id", "cluster", "size", "hashes"), "clusters")
@@ -325,6 +361,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         more = tasks.groupBy(*keys).applyInArrow(across, _LINK)
         first = first.unionByName(more)
-    groups = components(first)
-    named = measured.select("id", "n", "set").join(reps.select("set", "rep"), "set", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    linked_sets = components(first)
+    named = measured.select("id", "n", "set").join(reps.select("set", "rep"), "set", "left").join(linked_sets, F.col("rep") == F.col("node"), "left")
     return named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
