@@ -96,6 +96,7 @@ def test_urls():
     assert u.param("capacity") == "8" and u.number("capacity", 1) == 8 and u.number("slot_size", 4096) == 4096 and u.flag("multi_producer")
     assert str(TransportUrl.parse("tcp://h:80/p?a=1")) == "tcp://h:80/p?a=1" and u.label == "shm:name"
     assert parse_transport_url("file:///tmp/x?a=1&a=2") == ("file", "/tmp/x", {"a": "1"})
+    assert Pipeline.parse_transport_url("shm://a?capacity=4") == ("shm", "a", {"capacity": "4"})
     with pytest.raises(UrlError):
         TransportUrl.parse("shm://a?capacity=x").number("capacity", 1)
 

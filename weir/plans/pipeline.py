@@ -106,6 +106,13 @@ class Pipeline:
 
     # --- sources and sinks ---
 
+    @staticmethod
+    def parse_transport_url(url: str) -> tuple[str, str, dict[str, str]]:
+        """(scheme, target, parameters) of a URL."""
+        from weir.sources.urls import parse_transport_url
+
+        return parse_transport_url(url)
+
     def from_transport(self, url: str) -> Pipeline:
         """Read the messages of a channel. Checks the URL now and reads later; operators chained before are dropped."""
         from weir.sources.urls import TransportUrl
