@@ -87,3 +87,14 @@ def test_query(spark, sf_dir, documents):
         s = brute.word_statistics(documents[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == s
         assert r.base_failed == brute.base_failed(s) and not (r.kept and r.base_failed)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_kept_against_labels(spark, sf_dir, size):
+    """Outliers go and clean documents stay, in languages with an estimate of their own and in those without."""
+    at = f"{sf_dir}/../{size}"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    judged = [(labels.get(r.doc_id), r.kept, r.distance is None) for r in quality_query.query(spark, at).where("not base_failed").collect()]
+    assert any(q == 0 for q, _, small in judged if small) == (size == "sf0.001")
+    assert [kept for q, kept, _ in judged if q == 0].count(True) == 0
+    assert [kept for q, kept, _ in judged if q == 1].count(False) == 0

@@ -138,21 +138,27 @@ def _moments(by: list[str], rows: DataFrame) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def quality_rules(stats: DataFrame, share: float = 0.75, steps: int = 4, least: int = 60, cutoff: float = 80.0) -> DataFrame:
+def quality_rules(stats: DataFrame, share: float = 0.75, steps: int = 4, least: int = 60, tail: float = 0.9999) -> DataFrame:
     """stats (of document_statistics) with base_failed, distance and kept.
 
     A document is kept if the base rules pass and its squared Mahalanobis distance from its group's estimate is at
-    most `cutoff`. Documents that fail the base rules have no part in the estimates. Groups (language and source) of
-    fewer than `least` documents use their language's estimate; languages as small as that have none, and their
-    documents are kept. Null groups count as ''. Repeated rows count each; an empty table gives no rows.
+    most the chi-square law's quantile at `tail`. Documents that fail the base rules have no part in the estimates.
+    Groups (language and source) of fewer than `least` documents use their language's estimate. Languages as small as
+    that have none, so their distance is null, and are judged by the estimate over all languages; a table as small as
+    that is kept. Null groups count as ''. Repeated rows count each; an empty table gives no rows.
     """
     stats = stats.withColumn("base_failed", base_failed())
     sizes = stats.where("not base_failed").groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sizes.withColumn("lang", F.sum("own").over(Window.partitionBy("g0")))
-    sep = F.lit("\x1f")
+    sizes = stash(sizes.withColumn("lang", F.sum("own").over(Window.partitionBy("g0"))), "sizes")
+    total, small = sizes.agg(F.sum("own"), F.count_if(F.col("lang") < least)).first()
+    sep, everything = F.lit("\x1f"), F.lit("\x1f*\x1f*")
     key = F.when(F.col("own") >= least, F.concat("g0", sep, "g1")).when(F.col("lang") >= least, F.concat("g0", sep, F.lit("*"), sep))
+    if pooled := bool(small) and total >= least:
+        key = F.coalesce(key, everything)
     rows = stash(stats.join(sizes.select("g0", "g1", key.alias("key")), ["g0", "g1"], "left").select(*stats.columns, "key", *_features()), "stats")
     fit = rows.where("key is not null and not base_failed").select("key", *FEATURES)
+    if pooled:
+        fit = fit.where(F.col("key") != everything).unionByName(rows.where("not base_failed").select(everything.alias("key"), *FEATURES))
 
     # the first estimate: coordinatewise medians, and spreads from the middle halves (values are whole thousandths)
     middle = fit.groupBy("key").agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in FEATURES])
@@ -172,5 +178,6 @@ def quality_rules(stats: DataFrame, share: float = 0.75, steps: int = 4, least:
         estimate = stash(_estimates(half.agg(*[F.sum(n).alias(n) for n in names]), share), "estimate")
 
     judged = rows.join(estimate, "key", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return judged.select(*stats.columns, "distance", kept.alias("kept"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= _chi2(tail), F.lit(True))
+    own = F.when(F.col("key") != everything, F.col("distance"))
+    return judged.select(*stats.columns, own.alias("distance"), kept.alias("kept"))
