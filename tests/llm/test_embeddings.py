@@ -50,3 +50,21 @@ def test_query_recall(spark, sf_dir):
     assert set(got) == set(want)
     assert all(r.n_links <= want[i][0] and r.kept == (r.component_id == i) for i, r in got.items())
     assert sum(r.n_links for r in got.values()) >= 0.97 * 2 * len(links)
+
+
+def test_a_group_of_a_third(spark):
+    """Far more vectors than reference points, and a third of them near copies of one."""
+    rng = np.random.default_rng(5)
+    n, width = 6000, 64
+    x = rng.normal(size=(n, width))
+    x[: n // 3] = x[0] + 0.2 * rng.normal(size=(n // 3, width))
+    for k in range(n // 3, n // 2, 5):
+        x[k : k + 5] = x[k] + 0.2 * rng.normal(size=(5, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    got = {r.id: r for r in near_vectors(table(spark, [(i, "a", v.tolist()) for i, v in enumerate(x)])).collect()}
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= links).all()
+    assert found[: n // 3].sum() >= 0.97 * links[: n // 3].sum() > 0
+    assert found[n // 3 :].sum() >= 0.97 * links[n // 3 :].sum() > 0
+    assert len({got[i].component_id for i in range(n // 3)}) == 1

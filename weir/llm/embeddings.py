@@ -16,8 +16,24 @@ from pyspark.sql import functions as F
 from weir.llm.common import stash
 from weir.llm.components import components
 
-#: Reference points (a sample by hash, and its bound), how many describe a vector, how many a candidate pair shares.
+#: Reference points at most, how many describe a vector, how many a candidate pair shares.
 PIVOTS, NEAREST, SHARED, BLOCK = 512, 8, 2, 1024
+#: Reference points come from a sample by hash of so many times their number, and none has a cosine of APART to another,
+#: so a group of near copies owns one or a few of them, which its members share, however large it is.
+DRAWN, APART = 8, 0.8
+
+
+def reference_points(sample: np.ndarray, most: int) -> np.ndarray:
+    """The first rows of sample (of length 1), at most so many, without those near one taken before."""
+    out = np.zeros((min(most, len(sample)), sample.shape[1]))
+    n = 0
+    for x in sample:
+        if n == most:
+            break
+        if not n or (out[:n] @ x).max() < APART:
+            out[n] = x
+            n += 1
+    return out[:n]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -33,12 +49,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = own.where(F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
     entries = stash(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "entries")
-    sample = entries.select("v").orderBy(F.xxhash64("id")).limit(pivots).collect()  # at most `pivots` vectors
+    sample = entries.select("v").orderBy(F.xxhash64("id")).limit(DRAWN * pivots).collect()  # so many vectors at most
     width = max((len(r.v) for r in sample), default=1)
     points = np.zeros((len(sample), width))
     for n, r in enumerate(sample):
         points[n, : len(r.v)] = np.array(r.v) / np.abs(r.v).max()
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+    points = reference_points(points, pivots)
 
     def describe(batches):
         for b in batches:
