@@ -51,3 +51,28 @@ def test_query(spark, sf_dir):
     for r in rows:
         assert r.n_chars == len(r.text) and "<script" not in r.text and r.text == r.text.strip()
     assert sum(bool(r.text) for r in rows) >= 0.9 * len(rows)
+
+
+LONG = " ".join(f"Sentence {n} of the article is plain prose that says a little more than the one before it." for n in range(6))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body>{MENU}<article><h2>Part one</h2><p>{LONG}</p></article><article><p>{LONG} End.</p></article></body>", f"Part one\n\n{LONG}\n\n{LONG} End."),
+        ("<body>" + MENU + "<article>" + f"<p>{LONG}</p>" * 5 + f"</article><article><p>{LONG} End.</p></article><p>{P1}</p></body>", "\n\n".join([*[LONG] * 5, f"{LONG} End."])),
+        *[(f"<body>{MENU}<div class='{c}'><article><p>{P1}</p><p>{P2}</p></article><div class='sidebar'>Adverts</div></div></body>", WANT) for c in ("layout has-sidebar", "content with-menu", "post-search")],
+        (f"<body>{MENU}<div class='has-sidebar'><p>{P1}</p><p>{P2}</p></div></body>", WANT),
+        (f"<body>{MENU}<article><p>{P1}</p><p>{P2}</p></article><div class='user-comments'><p>{LONG}</p></div></body>", WANT),
+        (f"<body><article><p>{P1}</p><p>{P2}</p><div class='comments'><p>{LONG}</p></div></article></body>", WANT),
+        (f"<body><article><h1>A title</h1><p><b>{LONG}</b><br></p><p>{P1}</p><p>Short.</p></article><p>Imprint</p></body>", f"A title\n\n{LONG}\n\n{T1}\n\nShort."),
+    ],
+)
+def test_articles_and_marked_wrappers(page, text):
+    assert main_text(page) == text
+
+
+def test_density_decides_in_an_article():
+    """The article tag bounds what stands beside the densest part, and doesn't choose: a list of links in it is no text."""
+    links = "".join(f"<p><a href='/{n}'>Read on {n}</a></p>" for n in range(30))
+    assert main_text(f"<body><article><section><p>{P1}</p><p>{P2}</p></section><section>{links}</section></article></body>") == WANT

@@ -2,8 +2,10 @@
 
 Each DOM node gets its characters per tag, adjusted for links; a node's children's densities are summed, and the subtree
 with the largest sum is the main text. Parts beside it count too if they are at least as dense as the least dense node
-on the path from it to the body, and stand in the same article. Menus, notices and the like, which say by tag, role or
-class what they are, are taken out before densities are computed.
+on the path from it to the body; outside an article only parts with articles count,
+which may have as much text per tag instead. Menus, notices and the like, which
+say by tag, role or class what they are, are taken out before densities are computed, but for nodes marked by role or
+class that hold the bulk of the page's own text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Words in a class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation navigationmenu newsletter notice overlay pager pagination popup promo promoted promotion recommend recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+# Of these, names of what readers write: a class that is just one of them is never the article, however long.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 WHOLE = frozenset("html body main article p h1 h2 h3 h4 h5 h6 b i em strong span a li td".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -36,7 +40,7 @@ class _Page:
     """Nodes of a page in document order, and its text runs as (node, block, text)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.gone, self.runs = ["#root"], [-1], [False], []
+        self.tag, self.parent, self.gone, self.marked, self.runs = ["#root"], [-1], [False], [""], []
         stack, block, at, n = [0], 0, 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -65,7 +69,8 @@ class _Page:
                 self._end(stack, ENDS_SAME[tag], ("ul", "ol", "dl", "table", "select"))
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.gone.append(self.gone[stack[-1]] or self._boilerplate(tag, m[3], stack))
+            self.gone.append(self.gone[stack[-1]] or self._boilerplate(tag, stack))
+            self.marked.append(self._mark(tag, m[3]))
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 if tag != "noscript" or end:
@@ -82,15 +87,42 @@ class _Page:
             if t in within:
                 return
 
-    def _boilerplate(self, tag: str, attributes: str, stack: list[int]) -> bool:
-        if tag in DROPPED or tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack):
-            return True
-        if tag in WHOLE or not attributes:
-            return False
-        for m in _NAMES.finditer(attributes):
-            if any(w.lower() in MARKS for w in _WORDS.findall(m[1] or m[2] or m[3] or "")):
-                return True
-        return False
+    def _boilerplate(self, tag: str, stack: list[int]) -> bool:
+        return tag in DROPPED or tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack)
+
+    def _mark(self, tag: str, attributes: str) -> str:
+        """The class, id or role that has a word of MARKS, if any."""
+        if tag not in WHOLE and attributes:
+            for m in _NAMES.finditer(attributes):
+                name = m[1] or m[2] or m[3] or ""
+                if any(w.lower() in MARKS for w in _WORDS.findall(name)):
+                    return name
+        return ""
+
+    def drop_marked(self) -> None:
+        """Marked nodes go, with what is in them, unless they hold over half of the page's text outside links."""
+        if not any(self.marked):
+            return
+        n = len(self.tag)
+        linked, plain, articles = [False] * n, [0] * n, [0] * n
+        for x in range(1, n):
+            linked[x] = linked[self.parent[x]] or self.tag[x] == "a"
+        for node, _, text in self.runs:
+            plain[node] += 0 if linked[node] else len(" ".join(text.split()))
+        for x in range(n - 1, 0, -1):
+            articles[x] += not self.gone[x] and plain[x] > 0 and self.tag[x] in ("article", "main")
+            plain[self.parent[x]] += plain[x]
+            articles[self.parent[x]] += articles[x]
+        around = [0] * n  # articles that the node stands in
+        for x in range(1, n):
+            up = self.parent[x]
+            around[x] = around[up] + (self.tag[x] in ("article", "main") and not self.gone[x] and plain[x] > 0)
+            if self.gone[up]:
+                self.gone[x] = True
+            elif self.marked[x]:
+                bulk = 2 * plain[x] > plain[0] and articles[x] + around[up] == articles[0]
+                self.gone[x] = self.gone[x] or not bulk or any(w in READERS for w in self.marked[x].lower().split())
+        self.runs = [r for r in self.runs if not self.gone[r[0]]]
 
 
 def main_text(source: str | None) -> str:
@@ -98,6 +130,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
+    page.drop_marked()
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -130,21 +163,35 @@ def main_text(source: str | None) -> str:
             density[x] = c / t * math.log(max(c * t / (lc * lt), 1.0000001)) / math.log(max(base, 1.0000001)) if base > 1 else c / t * math.log(max(c * t / (lc * lt), 1.0000001))
     sums = [0.0] * n
     for x in range(n - 1, 0, -1):
-        if not page.gone[x]:
-            sums[page.parent[x]] += density[x]
-    # a node's own text counts like a child of it
-    best = max((x for x in range(n) if not page.gone[x] and chars[x]), key=lambda x: (max(sums[x], density[x] if not sums[x] else 0), -x))
+        if not page.gone[x]:  # inline tags are part of their block, which bold print doesn't split
+            sums[page.parent[x]] += sums[x] if page.tag[x] in INLINE else density[x]
+    # a node's own text, inline tags included, counts like a child of it
+    own = [0] * n
+    for node, _, text in page.runs:
+        own[node] += len(" ".join(text.split()))
+    for x in range(n - 1, 0, -1):
+        own[page.parent[x]] += own[x] if page.tag[x] in INLINE else 0
+    best = max((x for x in range(n) if not page.gone[x] and chars[x] and page.tag[x] not in INLINE), key=lambda x: (sums[x] + density[x] * own[x] / chars[x], -x))
     path = [best]
     while path[-1] not in (body, 0):
         path.append(page.parent[path[-1]])
     threshold = min(density[x] for x in path)
     article = next((x for x in reversed(path) if page.tag[x] == "article"), None)
-    if article is None:
-        article = next((x for x in path if page.tag[x] == "main"), None)
-    chosen = {article if article is not None else best}
-    if article is None:
-        for x in path[1:]:
-            chosen.update(y for y in range(x + 1, n) if page.parent[y] == x and y not in path and density[y] >= threshold and not page.gone[y])
+    holds = [page.tag[x] == "article" and not page.gone[x] for x in range(n)]
+    for x in range(n - 1, 0, -1):
+        holds[page.parent[x]] = holds[page.parent[x]] or holds[x]
+    on_path = set(path)
+    at = {x: k for k, x in enumerate(path)}
+    outside = at[article] if article is not None else len(path)
+    # composite densities grow with a part's size: an article beside the path is held to its text per tag, too
+    rate = [(chars[x] - link_chars[x]) / (tags[x] or 1) for x in range(n)]
+    least_rate = min(rate[x] for x in path)
+    chosen = {best}
+    for y in range(1, n):
+        k = at.get(page.parent[y], 0)
+        if k and y not in on_path and not page.gone[y]:
+            if density[y] >= threshold and k <= outside or holds[y] and (density[y] >= threshold or rate[y] >= least_rate):
+                chosen.add(y)
     inside = [False] * n
     for x in range(n):
         inside[x] = (x in chosen or inside[page.parent[x]] if x else 0 in chosen) and not page.gone[x]
