@@ -53,6 +53,39 @@ def test_random_passages(frame):
     check(frame(texts, 3), {3 + n: t for n, t in enumerate(texts)})
 
 
+def test_repeats_inside_documents(frame):
+    """A snippet that a document holds twice goes in both places where a smaller document has it, in part or whole."""
+    own, shared, other = "o" * 40 + "w" * 60, "shared bytes of both documents, " * 2 + "seventy", "n" * 100
+    texts = [f"start {shared} end"] + [f"{n:03}{own}{shared}{other}\n{n:03}{own}{shared}{other}\n{n:03}" for n in range(40)]
+    check(frame(texts, 7), {7 + n: t for n, t in enumerate(texts)})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_lines(frame, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    lines = [" ".join(word() for _ in range(rng.choice([3, 8, 15, 40]))) for _ in range(15)]
+    texts = []
+    for _ in range(40):
+        own = [" ".join(word() for _ in range(rng.choice([4, 12, 30]))) for _ in range(2)]
+        mixed = [f"{own[0]} {rng.choice(lines)} {own[1]}"]
+        texts.append("\n".join(rng.choice(mixed * 2 + own + lines) for _ in range(rng.randrange(12))))
+    check(frame(texts), dict(enumerate(texts)))
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = "A passage that is long enough to be removed when it comes again " * 2, "One more passage, which only the rows of one id hold, comes here " * 2
+    rows = [(1, a), (2, a + b), (2, a + b), (2, b), (None, a), (None, a), (3, "x" + a), (3, "x" + a + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as id", "'k' as kept", "1 as n_bytes", "2 as g", "3 as data")
+    got = sorted((str(r.id), r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in remove_repeats(df).collect())
+    n, m = len(a), len(b)
+    want = [("1", n, 0, a), ("2", n + m, n, b), ("2", n + m, n, b), ("2", m, 0, b), ("None", n, 0, a), ("None", n, 0, a), ("3", n + 1, n, "x"), ("3", n + 2, n, "xy")]
+    assert got == sorted(want)
+    passed = remove_repeats(df, keep=("id", "n_bytes", "g"))
+    assert passed.columns == ["id", "n_bytes", "n_removed", "n_spans", "kept", "id", "n_bytes", "g"]
+    assert {(r[0], r[5], r[6], r[7]) for r in passed.collect()} == {(i, i, 1, 2) for i in (1, 2, 3, None)}
+
+
 def test_odd_texts(frame, odd_texts):
     texts = odd_texts + ["x" * 120, "ab" * 40, "ab" * 60, "漢" * 40, "字漢" * 20 + "漢" * 30, "x" * 49, "x" * 50]
     check(frame(texts), dict(enumerate(texts)))

@@ -16,9 +16,12 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where driver and executor are one
+    process, an unset one is set to a folder of our own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="weir-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -50,6 +53,12 @@ def parts_for(spark: SparkSession, amount: int, per_part: int) -> int:
     return max(2 * shuffle_parts(spark), -(-int(amount) // per_part))
 
 
+def evenly_grown(total: int, size: int, most: int = 256 << 20) -> int:
+    """Bytes for a group of documents: `size` up to a gigabyte in all, then growing with the root of the total, so that
+    groups times parts grow in proportion with the data. `most` is what a task of a few gigabytes can hold."""
+    return min(most, int(size * max(1.0, (total / (1 << 30)) ** 0.5)))
+
+
 def ranked(df: DataFrame, by: list[str], order: list[str], name: str, rows: int, per_part: int = 20_000) -> DataFrame:
     """df with a gapless rank from 0 within by. Rows are dealt over hashed parts, ranked in each, and
     shifted by the counts of the parts before, so no group (not even all rows) meets in one task."""

@@ -18,8 +18,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weir.llm.common import mix, parts_for, powers, prefix_hash
+from weir.llm.common import evenly_grown, mix, parts_for, powers, prefix_hash
 from weir.llm.exchange import shared, shared_bits
 
 SPAN, GRAM = 50, 26
@@ -238,78 +239,85 @@ def _several(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return distinct, place, lo < hi
 
 
-def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
-    """(anchor, id, start, body) rows, columns one after another, compressed."""
-    anchors, ids, starts, bodies = zip(*rows, strict=True)
-    columns = np.array([len(rows)], np.uint32), np.array([len(b) for b in bodies], np.uint16), np.array(ids, np.int64), np.array(starts, np.int64), np.array(anchors, np.uint32)
+def _pack(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
+    """(anchor, id, row, start, body) rows, columns one after another, compressed."""
+    anchors, ids, places, starts, bodies = zip(*rows, strict=True)
+    columns = np.array([len(rows)], np.uint32), np.array([len(b) for b in bodies], np.uint16), np.array(ids, np.int64), np.array(places, np.int32), np.array(starts, np.int64), np.array(anchors, np.uint32)
     return zstandard.ZstdCompressor(1).compress(b"".join([*(c.tobytes() for c in columns), *bodies]))
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(anchors, ids, rows, starts, bodies) of _pack."""
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     out, at = [], 4
-    for kind in (np.uint16, np.int64, np.int64, np.uint32):
+    for kind in (np.uint16, np.int64, np.int32, np.int64, np.uint32):
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
     ends = (at + np.cumsum(out[0], dtype=np.int64)).tolist()
-    return out[3], out[1], out[2], [data[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)]
+    return out[4], out[1], out[2], out[3], [data[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)]
 
 
-def _documents(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    table = table.sort_by("id")
-    return table.column("id").to_numpy(), table.column("data").to_pylist()
+def _documents(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
+    """A group's rows in an order that is the same each time, their ids and their bytes."""
+    table = table.sort_by([("id", "ascending"), ("data", "ascending")])
+    return table, table.column("id").to_numpy(), table.column("data").to_pylist()
 
 
 # --- the job -------------------------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept): per document, what is left of its UTF-8 bytes when each byte covered by
-    a `span`-byte string that also starts in a document with a smaller id is taken out.
+def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, and the columns of `keep`): per row, what is left of its UTF-8 bytes when
+    each byte covered by a `span`-byte string that also starts in a document with a smaller id is taken out.
 
-    Ids are distinct longs; rows with a null id are left out. Null texts are empty; texts shorter than the span stay.
-    Strings never cross documents, and a string repeated inside one document alone stays.
+    Rows with equal ids are not smaller than one another, so they lose nothing to each other; rows with a null id are
+    neither smaller nor larger than any, so they stay whole and take nothing from others. Null texts are empty; texts
+    shorter than the span stay. Strings never cross documents, and a string repeated inside one document alone stays.
     """
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("data"))
+    passed = [F.col(c).alias(f"_kept{n}") for n, c in enumerate(keep)]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("data"), *passed)
     spark = docs.sparkSession
     total = own.agg(F.sum(F.length("data"))).first()[0] or 0
-    groups, parts = parts_for(spark, total, 3 << 20), parts_for(spark, total, 12 << 20)
-    own = own.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "data")
+    nameless, own = own.where("id is null"), own.where("id is not null")
+    size = evenly_grown(total, 3 << 20)
+    groups, parts = parts_for(spark, total, size), parts_for(spark, total, 4 * size)
+    names = [f.name for f in own.schema.fields[2:]]
+    own = own.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "data", *names)
 
     def anchors(table: pa.Table) -> np.ndarray:
-        return np.unique(snippets(_documents(table)[1], span)[3])
+        return np.unique(snippets(_documents(table)[2], span)[3])
 
     def send(docs: pa.Table, bits: pa.Table) -> pa.Table:
-        """Snippets at shared anchors, each content from the least document of the group only."""
+        """Snippets at shared anchors, each content from its first place in the group only."""
         shards: dict[int, list] = {}
         if len(docs):
             g = docs.column("g")[0].as_py()
-            ids, texts = _documents(docs)
+            _, ids, texts = _documents(docs)
             row, start, length, h = snippets(texts, span)
             distinct, place, several = _several(h, row)
-            first: dict[bytes, int] = {}
+            seen: set[bytes] = set()
             pick = np.flatnonzero((several | shared(distinct, bits, parts))[place])
             shard = (h[pick] >> np.uint64(8)) % np.uint64(groups)
             anchor = (h[pick] >> np.uint64(32)).tolist()
-            names = ids.tolist()
             for r, s, n, k, a in zip(row[pick].tolist(), start[pick].tolist(), length[pick].tolist(), shard.tolist(), anchor, strict=True):
                 body = texts[r][s : s + n]
-                if first.setdefault(body, r) == r:
-                    shards.setdefault(k, []).append((a, names[r], s, body))
+                if body not in seen:
+                    seen.add(body)
+                    shards.setdefault(k, []).append((a, int(ids[r]), r, s, body))
         else:
             g = 0
         order = sorted(shards)
         return pa.table({"shard": pa.array(order, pa.int32()), "g": pa.array([g] * len(order), pa.int32()), "rows": pa.array([_pack(shards[k]) for k in order], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
-        """Removed ranges of the snippets of a shard."""
+        """Removed ranges of the snippets of a shard, counted from where the snippet begins."""
         parts = [_unpack(x) for x in table.column("rows").to_pylist()]
-        groups = np.repeat(table.column("g").to_numpy(), [len(p[3]) for p in parts])
-        anchors, ids, begin = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
-        bodies = [b for p in parts for b in p[3]]
-        order = np.lexsort((begin, ids))
-        groups, anchors, ids, begin, bodies = groups[order], anchors[order], ids[order], begin[order], [bodies[n] for n in order.tolist()]
+        groups = np.repeat(table.column("g").to_numpy(), [len(p[4]) for p in parts])
+        anchors, ids, row, begin = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3))
+        bodies = [b for p in parts for b in p[4]]
+        order = np.lexsort((begin, row, ids))
+        groups, anchors, ids, row, begin, bodies = groups[order], anchors[order], ids[order], row[order], begin[order], [bodies[n] for n in order.tolist()]
         first: dict[bytes, int] = {}
         for n, b in enumerate(bodies):
             first.setdefault(b, n)
@@ -322,24 +330,34 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             lost = np.concatenate([[False], owner < ids[n], [False]])
             if lost.any():
                 edge = np.flatnonzero(lost[1:] != lost[:-1])
-                out += [(n, int(begin[n] + a), int(begin[n] + b - 1 + span)) for a, b in edge.reshape(-1, 2)]
-        out += [(n, int(begin[n]), int(begin[n]) + len(b)) for n, b in enumerate(bodies) if ids[first[b]] < ids[n]]
+                out += [(n, int(a), int(b - 1 + span)) for a, b in edge.reshape(-1, 2)]
+        out += [(n, 0, len(b)) for n, b in enumerate(bodies) if ids[first[b]] < ids[n]]
         pick = np.array([x[0] for x in out], np.int64)
-        return pa.table({"g": pa.array(groups[pick], pa.int32()), "id": pa.array(ids[pick], pa.int64()), "start": pa.array([x[1] for x in out], pa.int64()), "stop": pa.array([x[2] for x in out], pa.int64())})
+        columns = {"g": groups[pick].astype(np.int32), "row": row[pick], "begin": begin[pick]}
+        return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "start": pa.array([x[1] for x in out], pa.int64()), "stop": pa.array([x[2] for x in out], pa.int64())})
 
     def clear(docs: pa.Table, ranges: pa.Table) -> pa.Table:
-        """Take out the ranges found by the shards, and what an earlier document of the group holds in full."""
-        ids, texts = _documents(docs) if len(docs) else (np.zeros(0, np.int64), [])
+        """Take out the ranges found by the shards, wherever their content stands in the same document, and what a
+        smaller document of the group holds in full."""
+        docs, ids, texts = _documents(docs) if len(docs) else (docs, np.zeros(0, np.int64), [])
         row, start, length, h = snippets(texts, span)
+        found: dict[tuple[int, int], list] = {}
+        for r, s, a, b in zip(*(ranges.column(k).to_pylist() for k in ("row", "begin", "start", "stop")), strict=True):
+            found.setdefault((r, s), []).append((a, b))
+        # what was sent has several rows in the group, or ranges; other contents stand for themselves
         _, place, several = _several(h, row)
-        pick = np.flatnonzero(several[place])
+        asked = np.zeros(int(place.max()) + 1 if len(place) else 0, bool)
+        spot = np.array([(r << 34) + s for r, s in found], np.int64)
+        asked[place[np.searchsorted((row << 34) + start, spot)]] = True  # snippets come in this order
+        pick = np.flatnonzero((several | asked)[place])
         lost: dict[int, list] = {}
-        first: dict[bytes, int] = {}
+        first: dict[bytes, tuple[int, int]] = {}
         for r, s, n in zip(row[pick].tolist(), start[pick].tolist(), length[pick].tolist(), strict=True):
-            if first.setdefault(texts[r][s : s + n], r) < r:
+            origin = first.setdefault(texts[r][s : s + n], (r, s))
+            if ids[origin[0]] < ids[r]:
                 lost.setdefault(r, []).append((s, s + n))
-        for i, a, b in zip(np.searchsorted(ids, ranges.column("id").to_numpy()).tolist(), ranges.column("start").to_pylist(), ranges.column("stop").to_pylist(), strict=True):
-            lost.setdefault(i, []).append((a, b))
+            elif origin in found:
+                lost.setdefault(r, []).extend((s + a, s + b) for a, b in found[origin])
         out = {"id": ids, "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for r, t in enumerate(texts):
             at, runs, kept = 0, 0, []
@@ -354,10 +372,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             for k, v in zip(("n_bytes", "n_removed", "n_spans", "kept"), (len(t), len(t) - len(body), runs, body), strict=True):
                 out[k].append(v)
         kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        done = pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        for name in names:
+            done = done.append_column(name, docs.column(name))
+        return done
 
     by_group = own.groupBy("g")
     bits = shared_bits(by_group, anchors, parts)
     sent = by_group.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, rows binary")
-    ranges = sent.groupBy("shard").applyInArrow(judge, "g int, id long, start long, stop long")
-    return by_group.cogroup(ranges.groupBy("g")).applyInArrow(clear, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ranges = sent.groupBy("shard").applyInArrow(judge, "g int, row int, begin long, start long, stop long")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())] + nameless.schema.fields[2:])
+    done = by_group.cogroup(ranges.groupBy("g")).applyInArrow(clear, schema)
+    whole = nameless.select("id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"), *names)
+    out = done.unionByName(whole)
+    return out.select("id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
