@@ -36,6 +36,25 @@ def test_like_the_library(spark, frame, odd_texts, leaf, name):
         assert r.text == whole.decode(want[r.id], skip_special_tokens=False)
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows are encoded for themselves: equal ids, equal rows and null ids, below and above a leaf."""
+    whole, long, other = library(WORDS), "long text " * 20, "another one " * 20
+    rows = [(1, long), (1, long), (1, other), (None, long), (None, other), (None, "x"), (None, None), (1, "x")]
+    got = encode(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, leaf=64).collect()
+    want = [(i, brute.packed(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted((str(r.id), bytes(r.ids)) for r in got) == sorted((str(i), x) for i, x in want)
+
+
+def test_memory_is_bounded():
+    bpe = Bpe(WORDS)
+    bpe.remembered = 10_000
+    whole = library(WORDS)
+    for n in range(30):
+        text = " ".join(f"word{n}x{k}" for k in range(40))
+        assert bpe.encode([text]) == [brute.packed(whole.encode(text, add_special_tokens=False).ids)]
+        assert bpe.held <= 10_000 + 2 * 40 * 250
+
+
 def test_random_joins():
     rng, bpe, whole = np.random.default_rng(3), Bpe.of(WORDS), library(WORDS)
     alphabet = list("aab bcde  THE'st 01é!?-\n") + ["漢", "ing ", "tion", "'re"]

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from weir.llm.common import stash
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LEAF = 32_768
-#: Chunks between white space that a Python worker remembers.
-REMEMBERED = 400_000
+#: Bytes (about) of the chunks between white space that a Python worker remembers, and of an entry beside its text and ids.
+REMEMBERED, ENTRY = 64 << 20, 150
 #: Characters of the texts whose new pieces are encoded in one call.
 TOGETHER = 1_000_000
 #: Rows of a result batch.
@@ -51,6 +53,7 @@ class Bpe:
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.pattern = self._latin_pattern(spec)
         self.chunks: dict[str, bytes] = {}  # what stands between white space -> its ids
+        self.held = 0  # bytes of chunks, about
         size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
         self.strings = [""] * size
         for s, i in [*spec["model"]["vocab"].items(), *self.specials.items()]:
@@ -140,21 +143,24 @@ class Bpe:
     def _remembered(self, group: list, out: list) -> None:
         """White space parts the pieces, so each chunk between it is encoded once and remembered."""
         chunks = self.chunks
-        if len(chunks) > self.remembered:  # keep what is in use
+        if self.held > self.remembered:  # keep what is in use
             kept = {c: chunks[c] for c in set().union(*(c for _, c in group)) & chunks.keys()}
             chunks.clear()
-            chunks.update(kept)
+            self.held = 0
+            self._remember(kept)
         found = [list(map(chunks.get, c)) for _, c in group]
         new = {w for (_, c), ids in zip(group, found, strict=True) for w, i in zip(c, ids, strict=True) if i is None}
         if new:
             parts = {c: self.pattern.findall(c) for c in new}
-            chunks.update(self._words([w for w in {w for p in parts.values() for w in p} if w not in chunks]))
-            for c, p in parts.items():
-                if len(p) != 1 or p[0] != c:
-                    chunks[c] = b"".join([chunks[w] for w in p])
+            self._remember(self._words([w for w in {w for p in parts.values() for w in p} if w not in chunks]))
+            self._remember({c: b"".join([chunks[w] for w in p]) for c, p in parts.items() if len(p) != 1 or p[0] != c})
         for (n, c), ids in zip(group, found, strict=True):
             out[n] = b"".join([i if i is not None else chunks[w] for w, i in zip(c, ids, strict=True)])
 
+    def _remember(self, new: dict[str, bytes]) -> None:
+        self.held += sum(len(c) + len(i) for c, i in new.items()) + ENTRY * len(new)
+        self.chunks.update(new)
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, each a piece of its own: all in one call, parted after the tokens that end a word."""
         if not words:
@@ -279,7 +285,8 @@ def _small(batches):
 def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers, one row per row of docs.
 
-    Null and empty texts have no ids. Ids must be distinct for texts longer than a leaf.
+    Null and empty texts have no ids. Null and repeated ids are passed on: rows are encoded for themselves, whatever
+    their length. Leaves of long texts are written once with a number for their row, by which they are joined.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     length = F.length("text")
@@ -290,35 +297,34 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, remembered: int = REMEM
         for b in _small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.encode(b.column(1).to_pylist()), pa.binary())], ["id", "ids"])
 
-    done = own.where(length <= leaf).mapInArrow(short, "id long, ids binary")
     def leaves(batches):
         bpe = Bpe.of(path)
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row, i, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 rows = []
                 for seg, (special, t) in enumerate(bpe.segments(text)):
                     for n, at in enumerate(range(0, max(1, len(t)), leaf)):
-                        rows.append({"id": i, "seg": seg, "node": n, "special": special, "text": t[at : at + leaf]})
+                        rows.append({"row": row, "id": i, "seg": seg, "node": n, "special": special, "text": t[at : at + leaf]})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("id", pa.int64()), ("seg", pa.int32()), ("node", pa.int32()), ("special", pa.int64()), ("text", pa.string())])
-    parts = own.where(length > leaf).mapInArrow(leaves, "id long, seg int, node int, special long, text string")
-    parts = parts.repartition(F.col("id"), F.col("seg"), F.col("node"))
-
     def encoded(batches):
         bpe = Bpe.of(path)
         for b in batches:
-            ids = [_packed([s]) if s is not None else bpe.encode_part(t) for s, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ids, pa.binary())], ["id", "seg", "node", "text", "ids"])
+            ids = [_packed([s]) if s is not None else bpe.encode_part(t) for s, t in zip(b.column("special").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "seg", "node", "text")), pa.array(ids, pa.binary())], ["row", "id", "seg", "node", "text", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         bpe, segs = Bpe.of(path), {}
-        for r in sorted(table.to_pylist(), key=lambda r: (r["seg"], r["node"])):
+        for r in sorted(table.select(["seg", "node", "text", "ids"]).to_pylist(), key=lambda r: (r["seg"], r["node"])):
             segs.setdefault(r["seg"], []).append((r["text"], np.frombuffer(r["ids"], "<u4")))
         return pa.table({"id": table.column("id")[:1], "ids": pa.array([b"".join(bpe.tree(x).astype("<u4").tobytes() for x in segs.values())], pa.binary())})
 
-    nodes = parts.mapInArrow(encoded, "id long, seg int, node int, text string, ids binary")
-    return done.unionByName(nodes.groupBy("id").applyInArrow(joined, "id long, ids binary"))
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("seg", pa.int32()), ("node", pa.int32()), ("special", pa.int64()), ("text", pa.string())])
+    done = own.where(length <= leaf).mapInArrow(short, "id long, ids binary")
+    long_rows = own.where(length > leaf).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    parts = stash(long_rows.mapInArrow(leaves, "row long, id long, seg int, node int, special long, text string"), "leaves")
+    nodes = parts.repartition("row", "seg", "node").mapInArrow(encoded, "row long, id long, seg int, node int, text string, ids binary")
+    return done.unionByName(nodes.groupBy("row").applyInArrow(joined, "id long, ids binary"))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

@@ -13,7 +13,7 @@ TOKENIZER, WINDOW, END = "word_bpe_49k.json", 4096, 2
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    tokens = encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), remembered=1_300_000)
+    tokens = encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), remembered=200 << 20)
     return pack(cut_pieces(tokens, WINDOW, END), WINDOW).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
