@@ -26,7 +26,7 @@ FEATURES = ("f1", "f2", "f3", "f4")
 #: Whole units of each feature. Squares summed over 10^12 documents stay below 2^63.
 UNITS = (1000, 100, 1000, 1000)
 #: Standard deviations added to each feature's spread, which keeps covariances regular: most texts repeat nothing at all.
-FLOORS = (0.03, 0.35, 0.05, 0.03)
+FLOORS = (0.03, 0.15, 0.05, 0.03)
 PAIRS = [(a, b) for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]
 KEY = ("level", "g0", "g1")
 #: Documents' worth of the wider estimate that go into a narrower one.
