@@ -143,7 +143,7 @@ def propagate(groups: DataFrame, room: list[int], total: int) -> DataFrame:
         before = labels.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
         asks = stash(_asks(labels, closed, max(range(shards), key=lambda s: room[s]), turn, idle), "asks")
         demand = {(r.shard, r.goal): r.n for r in asks.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
-        if not demand:
+        if not demand and not closed:
             break
         flow = flows(demand, room)
         full = [s for s in range(shards) if any(n > flow.get(k, 0) for k, n in demand.items() if k[1] == s)]
