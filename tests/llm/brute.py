@@ -71,16 +71,19 @@ def repeats(documents, span=50):
 
 def line_chunks(text, roll, mean):
     lines, out, now = text.split("\n"), [], []
+    several = lambda chunk: sum(bool(x.strip()) for x in chunk) >= 2
     for n, line in enumerate(lines):
         now.append(line)
         window = [xxhash.xxh3_64_intdigest(x) for x in lines[max(0, n - roll + 1) : n + 1]]
         h = 0
         for x in window:
             h = (h * 0x9E3779B97F4A7C15 + x) % 2**64
-        if len(window) == roll and (h >> 20) % mean == 0:
-            out.append("\n".join(now))
+        if len(window) == roll and (h >> 20) % mean == 0 and several(now):
+            out.append(now)
             now = []
-    return [*out, "\n".join(now)] if now else out
+    if now and out and not several(now):
+        now = out.pop() + now
+    return ["\n".join(x) for x in [*out, now] if x]
 
 
 def line_dedup(documents, roll, mean):

@@ -40,6 +40,26 @@ def test_random_lines(frame):
         assert r.lines_removed == sum(len(c.split("\n")) for c in brute.line_chunks(texts[i], ROLL, MEAN)) - sum(len(c.split("\n")) for c in brute.line_chunks(want[i], ROLL, MEAN)) or r.lines_removed > 0
 
 
+def test_copies_and_passages_go(frame):
+    """Exact copies of several lines go as a whole; of a passage of lines at most the chunks at its edges stay."""
+    rng = random.Random(9)
+    line = lambda: f"line {rng.random()} of some text"
+    passage = [line() for _ in range(30)]
+    texts = ["\n".join(passage), "\n".join([line(), line(), "", *passage, "", line()]), "a\nb", "a\nb", "a\n\nb\n", "\n".join([line(), *passage[3:25], line(), line()])]
+    texts += [texts[1], texts[5], texts[1]]
+    rows = {r.doc_id: r for r in dedup_lines(frame(texts)).collect()}
+    assert [rows[n].text for n in (3, 6, 7, 8)] == [""] * 4
+    left = [sum(x in passage for x in rows[n].text.split("\n")) for n in (0, 1, 5)]
+    assert left[0] == 30 and left[1] <= 10 and left[2] <= 12
+
+
+def test_repeated_ids(spark):
+    rows = [(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, None), (2, "x\ny"), (1, "x\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as g", "'z' as body", "true as late")
+    got = sorted((str(r.doc_id), str(r.text)) for r in dedup_lines(df).collect())
+    assert got == sorted([("1", "a\nb"), ("1", ""), ("None", "a\nb"), ("2", "None"), ("1", "x\ny"), ("2", "")])
+
+
 def test_odd_texts(frame, odd_texts):
     texts = [*odd_texts, "a\nb\n" * 400, "a\nb\n" * 400]
     got = {r.doc_id: r.text for r in dedup_lines(frame(texts)).collect()}

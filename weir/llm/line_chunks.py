@@ -1,24 +1,27 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines of a document decides where a chunk ends, so inserted or removed lines
-move boundaries only nearby. Chunks of several lines that stand elsewhere too, byte by byte, are removed; the first one
-(least id, then place) stays.
+A rolling hash over the hashes of the last lines of a document decides where a chunk ends, once it has two lines with
+something in them, so inserted or removed lines move boundaries only nearby. Chunks of several lines that stand elsewhere
+too, byte by byte, are removed; the first one (least id, then place) stays.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import parts_for
+from weir.llm.common import evenly_grown, parts_for, stash
 from weir.llm.exchange import shared, shared_bits
 
 #: Lines that the rolling hash sees, and one in how many of its values ends a chunk.
-ROLL, MEAN = 2, 3
+ROLL, MEAN = 2, 2
 #: A name that no table has.
 GROUP = "_weir_group"
 _M64 = (1 << 64) - 1
@@ -26,19 +29,21 @@ _TURN = 0x9E3779B97F4A7C15
 
 
 def chunks(text: str) -> list[list[str]]:
-    """Lines of text (split at \\n) in content-defined chunks; the text is their lines joined by \\n."""
+    """Lines of text (split at \\n) in content-defined chunks of two non-blank lines or more (the last one is joined to
+    the one before it if it has fewer); the text is their lines joined by \\n."""
     lines = text.split("\n")
-    out, now, window = [], [], []
+    out, now, before, full = [], [], None, 0
     for line in lines:
         now.append(line)
-        window = [*window[1 - ROLL :], xxhash.xxh3_64_intdigest(line)] if ROLL > 1 else [xxhash.xxh3_64_intdigest(line)]
-        rolled = 0
-        for h in window:
-            rolled = (rolled * _TURN + h) & _M64
-        if len(window) == ROLL and (rolled >> 20) % MEAN == 0:
+        full += bool(line) and not line.isspace()
+        h = xxhash.xxh3_64_intdigest(line)
+        if before is not None and full >= 2 and (((before * _TURN + h) & _M64) >> 20) % MEAN == 0:
             out.append(now)
-            now = []
-    if now:
+            now, full = [], 0
+        before = h
+    if full < 2 and out:
+        out[-1] += now
+    elif now:
         out.append(now)
     return out
 
@@ -67,7 +72,7 @@ def _hash(body: str) -> int:
 
 def _documents(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list, list]:
     """A group's rows by id, the rows that take part (with an id and a text), and their chunks."""
-    table = table.sort_by(id_col)
+    table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
     ids, texts = table.column(id_col).to_pylist(), table.column(text_col).to_pylist()
     rows = [r for r, (i, t) in enumerate(zip(ids, texts, strict=True)) if i is not None and t is not None]
     return table, rows, [["\n".join(c) if _several(c) else None for c in chunks(texts[r])] for r in rows]
@@ -78,16 +83,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents travel once, in groups. Groups learn which of their chunks' hashes other groups have; such chunks, and
     those that a group has twice, are sent with their bytes, each once a group, and equal ones tell each other their
-    least id. All but the first of equal chunks go.
+    least id: first among some of the groups, then the least of those among all, so a chunk that all have is no task of
+    its own. All but the first of equal chunks go.
 
-    Documents with a null id or text stay as they are. Chunks of one line, and blank ones, are never removed; empty
-    tables give no rows; other columns pass through, but for one called lines_removed, which is replaced.
+    Documents with a null id or text stay as they are. Rows with equal ids follow one another by their text. Texts of one
+    line, and blank ones, are never removed; empty tables give no rows; other columns pass through, but for one called
+    lines_removed, which is replaced.
     """
     docs = docs.drop("lines_removed")
     docs = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")})
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     spark = docs.sparkSession
-    groups, parts = parts_for(spark, total, 3 << 20), parts_for(spark, total, 64 << 20)
+    size = evenly_grown(total, 3 << 20)
+    groups, parts = parts_for(spark, total, size), parts_for(spark, total, 21 * size)
+    salts = math.isqrt(groups) + 1
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text_col))
     grouped = docs.withColumn(GROUP, F.pmod(key, F.lit(groups)).cast("int")).groupBy(GROUP)
 
@@ -117,12 +126,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)})
 
     def judge(table: pa.Table) -> pa.Table:
-        """The groups' chunks that a document with a smaller id has, by their first place in the group."""
+        """Rows as they came; those whose chunk a row with a smaller id has are late and lose their body."""
         ids, bodies = table.column("id").to_pylist(), table.column("body").to_pylist()
         least: dict[str, int] = {}
         for i, b in zip(ids, bodies, strict=True):
             least[b] = min(i, least.get(b, i))
-        return table.select(["g", "id", "place"]).filter(pa.array([least[b] < i for i, b in zip(ids, bodies, strict=True)], pa.bool_()))
+        late = pa.array([least[b] < i for i, b in zip(ids, bodies, strict=True)], pa.bool_())
+        bodies = pc.if_else(late, pa.scalar(None, pa.string()), table.column("body"))
+        return pa.table({**{c: table.column(c) for c in ("shard", "g", "id", "place")}, "body": bodies, "late": late})
 
     names = [*docs.columns, "lines_removed"]
 
@@ -147,6 +158,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     bits = shared_bits(grouped, hashes, parts, GROUP)
     sent = grouped.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, id long, place int, body string")
-    late = sent.groupBy("shard").applyInArrow(judge, "g int, id long, place int")
+    judged = "shard int, g int, id long, place int, body string, late boolean"
+    some = stash(sent.groupBy("shard", F.pmod("g", F.lit(salts))).applyInArrow(judge, judged), "chunks")
+    rest = some.where("not late").groupBy("shard").applyInArrow(judge, judged)
+    late = some.unionByName(rest).where("late").select("g", "id", "place")
     schema = T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())])
     return grouped.cogroup(late.groupBy("g")).applyInArrow(clear, schema)
