@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -59,10 +60,16 @@ def evenly_grown(total: int, size: int, most: int = 256 << 20) -> int:
     return min(most, int(size * max(1.0, (total / (1 << 30)) ** 0.5)))
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], name: str, rows: int, per_part: int = 20_000) -> DataFrame:
-    """df with a gapless rank from 0 within by. Rows are dealt over hashed parts, ranked in each, and
-    shifted by the counts of the parts before, so no group (not even all rows) meets in one task."""
-    n = max(1, -(-rows // per_part))
+def rank_parts(rows: int) -> int:
+    """Parts for a rank of so many rows: as many as a part then has rows, but no smaller than 1000."""
+    return max(1, -(-rows // max(1000, math.isqrt(rows))))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str, rows: int) -> DataFrame:
+    """df with a gapless rank from 0 within by, whose largest group has so many rows, about. Rows are dealt over hashed
+    parts, ranked in each, and shifted by the counts of the parts before, so no group (not even all rows) meets in one
+    task."""
+    n = rank_parts(rows)
     own = [F.col(c) for c in by]
     part = F.pmod(F.xxhash64(*order), F.lit(n)).alias("_part")
     df = df.select("*", part)

@@ -11,4 +11,4 @@ SQL = None  # an index; tests measure its recall against all pairs
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -121,7 +121,7 @@ def pack(pieces: DataFrame, window: int, step: int = 16) -> DataFrame:
         base += repeats
     spark = pieces.sparkSession
     ranges = spark.createDataFrame(rows, "class int, lo long, hi long, repeats long, base long, slot int")  # a few for each class
-    placed = ranked(pieces, ["class"], ["id", "start"], "rank", int(histogram.max(initial=0)), 50_000)
+    placed = ranked(pieces, ["class"], ["id", "start"], "rank", int(histogram.max(initial=0)))
     placed = placed.join(F.broadcast(ranges), "class").where("rank >= lo and rank < hi")
     placed = placed.withColumn("sequence_id", F.col("base") + (F.col("rank") - F.col("lo")) % F.col("repeats"))
     placed = placed.withColumn("slot", F.col("slot") + F.expr("(rank - lo) div repeats"))

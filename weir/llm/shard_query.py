@@ -23,7 +23,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     facts = stash(facts, "facts")
     placed = balanced_shards(facts, SHARDS, id_col="row", link_col="link").select(F.col("id").alias("row"), "shard")
-    placed = ranked(stash(placed, "shards"), ["shard"], ["row"], "slot", max(1, facts.count() // SHARDS), 5_000)
+    placed = ranked(stash(placed, "shards"), ["shard"], ["row"], "slot", max(1, facts.count() // SHARDS))
     return facts.join(placed, "row").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

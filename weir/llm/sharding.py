@@ -15,10 +15,8 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import ranked, stash
+from weir.llm.common import rank_parts, ranked, stash
 
-#: Rows that a part of a rank or of a sum holds, about.
-PART = 20_000
 #: Rounds without a gain after which the labels stay.
 IDLE = 5
 
@@ -117,7 +115,7 @@ def deal(room: list[int], total: int) -> list[tuple[int, int, list[int]]]:
 
 def propagate(groups: DataFrame, room: list[int], total: int) -> DataFrame:
     """groups (link, size), total documents -> labels (link, shard, n), at most so many in a shard as it has room."""
-    shards, parts, most = len(room), max(1, -(-total // PART)), max(room)
+    shards, parts, most = len(room), rank_parts(total), max(room)
     ranks = _sums_before(groups.select("link", "size"), [], ["link"], "size", parts)
     pieces_of = deal(room, total)
     pieces = F.from_json(F.lit(json.dumps([{"start": a, "stop": b, "to": c} for a, b, c in pieces_of])), "array<struct<start:bigint,stop:bigint,to:array<int>>>")
@@ -179,7 +177,7 @@ def balanced_shards(nodes: DataFrame, shards: int = 40, id_col: str = "id", link
     total = own.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]  # as many numbers as shards
     # a group's members are ranked in hashed parts of it; what is joined by link is joined by link and part
-    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // PART)))).alias("part")
+    part = F.pmod(F.xxhash64("id"), F.lit(rank_parts(total))).alias("part")
     counts = own.where("link is not null").select("link", part).groupBy("link", "part").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("link")
     upto = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
