@@ -11,13 +11,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import evenly_grown, parts_for, stash
+from weir.llm.common import evenly_grown, parts_for
 from weir.llm.exchange import shared, shared_bits
 
 #: Lines that the rolling hash sees, and one in how many of its values ends a chunk.
@@ -126,14 +125,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)})
 
     def judge(table: pa.Table) -> pa.Table:
-        """Rows as they came; those whose chunk a row with a smaller id has are late and lose their body."""
+        """Rows as they came, but those whose chunk a row with a smaller id has lose their body: they are late."""
         ids, bodies = table.column("id").to_pylist(), table.column("body").to_pylist()
         least: dict[str, int] = {}
         for i, b in zip(ids, bodies, strict=True):
-            least[b] = min(i, least.get(b, i))
-        late = pa.array([least[b] < i for i, b in zip(ids, bodies, strict=True)], pa.bool_())
-        bodies = pc.if_else(late, pa.scalar(None, pa.string()), table.column("body"))
-        return pa.table({**{c: table.column(c) for c in ("shard", "g", "id", "place")}, "body": bodies, "late": late})
+            if b is not None:
+                least[b] = min(i, least.get(b, i))
+        bodies = [None if b is None or least[b] < i else b for i, b in zip(ids, bodies, strict=True)]
+        return pa.table({**{c: table.column(c) for c in ("shard", "g", "id", "place")}, "body": pa.array(bodies, pa.string())})
 
     names = [*docs.columns, "lines_removed"]
 
@@ -158,9 +157,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     bits = shared_bits(grouped, hashes, parts, GROUP)
     sent = grouped.cogroup(bits.groupBy("g")).applyInArrow(send, "shard int, g int, id long, place int, body string")
-    judged = "shard int, g int, id long, place int, body string, late boolean"
-    some = stash(sent.groupBy("shard", F.pmod("g", F.lit(salts))).applyInArrow(judge, judged), "chunks")
-    rest = some.where("not late").groupBy("shard").applyInArrow(judge, judged)
-    late = some.unionByName(rest).where("late").select("g", "id", "place")
+    judged = "shard int, g int, id long, place int, body string"
+    some = sent.groupBy("shard", F.pmod("g", F.lit(salts))).applyInArrow(judge, judged)
+    late = some.groupBy("shard").applyInArrow(judge, judged).where("body is null").select("g", "id", "place")
     schema = T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())])
     return grouped.cogroup(late.groupBy("g")).applyInArrow(clear, schema)

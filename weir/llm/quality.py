@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import stash
+from weir.llm.common import shuffle_parts, stash
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("f1", "f2", "f3", "f4")
@@ -148,6 +148,12 @@ def _estimate(key: list, n: int, mean: np.ndarray, cov: np.ndarray, det: float |
     return [*key, int(n), *mean.tolist(), *_flat(np.linalg.inv(whole)), _flat(cov), float(np.linalg.slogdet(whole)[1]) if det is None else det]
 
 
+def _met(cells: DataFrame, estimates: DataFrame) -> DataFrame:
+    """cells with their KEY's estimates, which are dealt out once a salt, so a large group is joined in many tasks."""
+    salts = F.sequence(F.lit(0), F.lit(shuffle_parts(cells.sparkSession) - 1))
+    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.size(salts))).join(estimates.withColumn("salt", F.explode(salts).cast("bigint")), [*KEY, "salt"]).drop("salt")
+
+
 def _from_sums(sums: DataFrame, factor: float) -> DataFrame:
     """Sums by KEY and start -> the estimates they give."""
 
@@ -174,7 +180,7 @@ def _starts(cells: DataFrame) -> DataFrame:
     z = [(F.col(f) - F.col(f"med{a}")) / F.sqrt(f"var{a}") for a, f in enumerate(FEATURES)]
     far = sum((x * x for x in z[1:]), z[0] * z[0])
     turn = [F.sum(F.when(far > 0, F.round(z[a] * z[b] / far * 1_000_000).cast("long") * F.col("w"))).alias(f"d{a}{b}") for a, b in PAIRS]
-    sums = cells.join(middle, list(KEY)).groupBy(*KEY, *[x for a in range(4) for x in (f"med{a}", f"var{a}")])
+    sums = _met(cells, middle).groupBy(*KEY, *[x for a in range(4) for x in (f"med{a}", f"var{a}")])
     sums = sums.agg(*_moments(), F.coalesce(F.sum(F.when(far > 0, F.col("w"))), F.lit(0)).alias("away"), *turn)
 
     def f(frames):
@@ -214,7 +220,7 @@ def _moments(where: Column | None = None) -> list[Column]:
 def _concentrated(cells: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
     """The estimates that the nearest share of the documents under these give."""
     by = [*KEY, "start"]
-    near = cells.join(estimates.select(*by, *_MEAN, *_INVERSE), list(KEY)).withColumn("near", F.floor(16 * F.log2(_distance() + 0.01)).cast("int"))
+    near = _met(cells, estimates.select(*by, *_MEAN, *_INVERSE)).withColumn("near", F.floor(16 * F.log2(_distance() + 0.01)).cast("int"))
     sums = stash(near.groupBy(*by, "near").agg(*_moments()), "classes")
     upto = Window.partitionBy(*by).orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
@@ -232,7 +238,7 @@ def determinant_estimates(cells: DataFrame, share: float, inner: float) -> DataF
         best = stash(both.select(*KEY, "start", *[F.when(F.col("falls"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in _NAMES[4:]], F.col("falls").alias("moves")), "estimates")
     first = Window.partitionBy(*KEY).orderBy("det", "start")
     best = stash(best.withColumn("place", F.row_number().over(first)).where("place = 1").select(*_NAMES), "estimates")
-    inside = cells.join(best.select(*KEY, "start", *_MEAN, *_INVERSE), list(KEY)).withColumn("inside", _distance() <= chi2(inner))
+    inside = _met(cells, best.select(*KEY, "start", *_MEAN, *_INVERSE)).withColumn("inside", _distance() <= chi2(inner))
     total = F.sum("w").alias("documents")
     sums = inside.groupBy(*KEY, "start").agg(total, *_moments(F.col("inside")))
     own = stash(sums.where("n > 0"), "inside")
@@ -280,9 +286,9 @@ def quality_rules(stats: DataFrame, share: float = 0.75, inner: float = 0.975, t
     cells = cells.select(F.inline(levels), *FEATURES, "w").groupBy(*KEY, *FEATURES).agg(F.sum("w").alias("w"))
     found = stash(determinant_estimates(stash(cells, "cells"), share, inner), "found")
 
-    groups = rows.select("g0", "g1", none.alias("all")).distinct()
+    groups = rows.select("g0", "g1", F.substring("g0", 1, 0).alias("all")).distinct()  # '' as in the estimate of all
     for level, own in enumerate((["all"], ["g0"], ["g0", "g1"])):
-        here = found.withColumn("all", none).where(F.col("level") == level).select(*own, *[F.col(c).alias(f"{c}{level}") for c in ("n", "mean", "cov")])
+        here = found.withColumn("all", F.col("g0")).where(F.col("level") == level).select(*own, *[F.col(c).alias(f"{c}{level}") for c in ("n", "mean", "cov")])
         groups = groups.join(here, own, "left")
     judged = rows.join(stash(_drawn(groups, prior), "drawn"), ["g0", "g1"], "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2(tail), F.lit(True))
