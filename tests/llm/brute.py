@@ -1,10 +1,12 @@
 """Plain versions of the corpus operators, for small inputs. documents: {id: text or None}."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -163,3 +165,66 @@ def check_packing(rows, ids_of, window=4096):
         assert at <= window
         used += at
     return used / (window * len(by_seq))
+
+
+class _Article(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def article_text(source):
+    """Blocks of the article element of the tables' pages, whose articles hold headings and paragraphs only."""
+    parser = _Article()
+    parser.feed(source or "")
+    parser.close()
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def text_density(page, inline):
+    """(density, sum of the children's densities) of each node of a parsed page, subtree by subtree."""
+    n = len(page.tag)
+    below = [[y for y in range(n) if x in _line(page.parent, y)] for x in range(n)]
+    links = {x for x in range(n) if any(page.tag[y] == "a" for y in _line(page.parent, x))}
+    size = lambda nodes: sum(len(" ".join(t.split())) for node, _, t in page.runs if node in nodes)
+    whole = next((x for x in range(n) if page.tag[x] == "body" and size(set(below[x]))), 0)
+
+    def density(x):
+        nodes = {y for y in below[x] if not page.gone[y] or y == x}
+        c, lc = size(nodes), size(nodes & links)
+        if not c or page.gone[x]:
+            return 0.0
+        t, lt = len(nodes) - 1, sum(page.tag[y] == "a" for y in nodes)
+        ratio = size(set(below[whole]) & links) / size(set(below[whole]))
+        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+        plain = c / (t or 1) * math.log(max(c * (t or 1) / ((lc or 1) * (lt or 1)), 1.0000001))
+        return plain / math.log(max(base, 1.0000001)) if base > 1 else plain
+
+    out = [density(x) for x in range(n)]
+
+    def children(x):
+        return [z for y in range(1, n) if page.parent[y] == x and not page.gone[y] for z in ([y] if page.tag[y] not in inline else children(y))]
+
+    return out, [sum(out[y] for y in children(x)) for x in range(n)]
+
+
+def _line(parent, x):
+    while x >= 0:
+        yield x
+        x = parent[x]

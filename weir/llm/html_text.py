@@ -2,10 +2,12 @@
 
 Each DOM node gets its characters per tag, adjusted for links; a node's children's densities are summed, and the subtree
 with the largest sum is the main text. Parts beside it count too if they are at least as dense as the least dense node
-on the path from it to the body; outside an article only parts with articles count,
-which may have as much text per tag instead. Menus, notices and the like, which
-say by tag, role or class what they are, are taken out before densities are computed, but for nodes marked by role or
-class that hold the bulk of the page's own text.
+on the path from it to the body; outside an article only parts with articles count, which may have as much text per tag
+instead. Blocks that are mostly links are no text wherever they stand. Menus, notices and the like, which say by tag, or
+by a whole name of their role or class, what they are, are taken out before densities are computed, but for nodes marked
+by role or class that hold the bulk of the page's own text.
+
+A page is read once, whatever is broken in it: work grows in proportion with its length.
 """
 
 from __future__ import annotations
@@ -26,14 +28,55 @@ DROPPED = frozenset("nav footer aside form button select fieldset dialog menu he
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Words in a class, id or role that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation navigationmenu newsletter notice overlay pager pagination popup promo promoted promotion recommend recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer feedback gdpr masthead menu modal nav navbar navigation navigationmenu newsletter notice overlay pager pagination popup promo promoted promotion recommend reactions recommended related remarks reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 # Of these, names of what readers write: a class that is just one of them is never the article, however long.
-READERS = frozenset("comment comments disqus reply replies respond".split())
+READERS = frozenset("comment comments disqus feedback reactions remarks reply replies respond responses".split())
+# Words that may stand beside them in a name that still says just that.
+BESIDE = frozenset("area article bar block blog bottom box container cookie form group header holder inner item left list main outer page panel post posts reader readers right section site social story theme thread top user users wrap wrapper".split())
 WHOLE = frozenset("html body main article p h1 h2 h3 h4 h5 h6 b i em strong span a li td".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Links that a block needs to count as a list of links, and the share of its characters in them.
+LINKS, LINKED = 3, 2 / 3
+
+
+def _tokens(source: str, onward: list[int]):
+    """(text before, kind, tag, attributes, end): kind is "open", "close" or "" (comments, declarations). A quote that is
+    never closed is none, and from there on tags end at the next ">". The next token is looked for from onward[0] on."""
+    at = start = 0
+    strict, n = True, len(source)
+    while (lt := source.find("<", at)) >= 0:
+        kind = tag = attributes = ""
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            end = end + 3 if end >= 0 else n
+        elif source[lt + 1 : lt + 2] in ("!", "?"):
+            end = source.find(">", lt) + 1
+        else:
+            close = source.startswith("/", lt + 1)
+            m = _NAME.match(source, lt + 1 + close)
+            if not m:
+                at = lt + 1
+                continue
+            end = at = m.end()
+            while strict and (stop := _STOP.search(source, at)):
+                if stop[0] == ">":
+                    end = stop.end()
+                    break
+                at = source.find(stop[0], stop.end()) + 1
+                if not at:
+                    strict = False
+            else:
+                strict, end = False, source.find(">", end) + 1
+            kind, tag, attributes = "close" if close else "open", m[0].lower(), source[m.end() : end - 1]
+        if not end:  # nothing ends any more
+            break
+        yield source[start:lt], kind, tag, attributes, end
+        at = start = max(end, onward[0])
+    yield source[start:], "", "", "", n
 
 
 class _Page:
@@ -41,62 +84,64 @@ class _Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.gone, self.marked, self.runs = ["#root"], [-1], [False], [""], []
-        stack, block, at, n = [0], 0, 0, len(source)
-        while at < n:
-            m = _TOKEN.search(source, at)
-            text = source[at : m.start()] if m else source[at:]
-            if text and not self.gone[stack[-1]]:
-                self.runs.append((stack[-1], block, text))
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                open_tags = [self.tag[x] for x in stack]
-                if tag in open_tags:
-                    del stack[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
-                    stack = stack or [0]
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        block, n, endless = 0, len(source), set()
+        onward = [0]
+        for text, kind, tag, attributes, at in _tokens(source, onward):
+            top = self.stack[-1]
+            if text and not self.gone[top]:
+                self.runs.append((top, block, text))
+            if kind == "close":
+                if self.open.get(tag):
+                    self._close(self.open[tag][-1])
                 block += tag not in INLINE
-                continue
-            if tag == "br":
-                self.runs.append((stack[-1], block, " "))
-            block += tag not in INLINE and tag != "br"
-            if tag in ENDS_P:
-                self._end(stack, ("p",), ("article", "section", "div", "body", "td", "li"))
-            if tag in ENDS_SAME:
-                self._end(stack, ENDS_SAME[tag], ("ul", "ol", "dl", "table", "select"))
-            self.tag.append(tag)
-            self.parent.append(stack[-1])
-            self.gone.append(self.gone[stack[-1]] or self._boilerplate(tag, stack))
-            self.marked.append(self._mark(tag, m[3]))
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                if tag != "noscript" or end:
-                    at = end.end() if end else n
-            elif tag not in VOID and not m[3].endswith("/"):
-                stack.append(len(self.tag) - 1)
-
-    def _end(self, stack: list[int], tags: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in tags:
-                del stack[k:]
-                return
-            if t in within:
-                return
-
-    def _boilerplate(self, tag: str, stack: list[int]) -> bool:
-        return tag in DROPPED or tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack)
+            elif kind == "open":
+                if tag == "br":
+                    self.runs.append((top, block, " "))
+                block += tag not in INLINE and tag != "br"
+                if tag in ENDS_P:
+                    self._end(("p",), ("article", "section", "div", "body", "td", "li"))
+                if tag in ENDS_SAME:
+                    self._end(ENDS_SAME[tag], ("ul", "ol", "dl", "table", "select"))
+                top = self.stack[-1]
+                self.tag.append(tag)
+                self.parent.append(top)
+                self.gone.append(self.gone[top] or self._boilerplate(tag))
+                self.marked.append(self._mark(tag, attributes))
+                if tag in RAW:
+                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                    if end or tag != "noscript":
+                        onward[0] = end.end() if end else n
+                    else:
+                        endless.add(tag)
+                elif tag not in VOID and not attributes.endswith("/"):
+                    self.open.setdefault(tag, []).append(len(self.stack))
+                    self.stack.append(len(self.tag) - 1)
+
+    def _close(self, place: int) -> None:
+        """Everything from this place in the stack on is closed."""
+        for node in self.stack[place:]:
+            self.open[self.tag[node]].pop()
+        del self.stack[place:]
+
+    def _end(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
+        bound = max((self.open[t][-1] for t in within if self.open.get(t)), default=0)
+        inside = [self.open[t][-1] for t in tags if self.open.get(t) and self.open[t][-1] > bound]
+        if inside:
+            self._close(min(inside))
+
+    def _boilerplate(self, tag: str) -> bool:
+        return tag in DROPPED or tag == "header" and not any(self.open.get(t) for t in ("article", "main"))
 
     def _mark(self, tag: str, attributes: str) -> str:
-        """The class, id or role that has a word of MARKS, if any."""
+        """The name in class, id or role that says, as a whole, that the node is of MARKS, if any."""
         if tag not in WHOLE and attributes:
             for m in _NAMES.finditer(attributes):
-                name = m[1] or m[2] or m[3] or ""
-                if any(w.lower() in MARKS for w in _WORDS.findall(name)):
-                    return name
+                for name in (m[1] or m[2] or m[3] or "").split():
+                    words = [w.lower() for w in _WORDS.findall(name)]
+                    if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+                        return " ".join(words)
         return ""
 
     def drop_marked(self) -> None:
@@ -121,16 +166,13 @@ class _Page:
                 self.gone[x] = True
             elif self.marked[x]:
                 bulk = 2 * plain[x] > plain[0] and articles[x] + around[up] == articles[0]
-                self.gone[x] = self.gone[x] or not bulk or any(w in READERS for w in self.marked[x].lower().split())
+                self.gone[x] = self.gone[x] or not bulk or any(w in READERS for w in self.marked[x].split())
         self.runs = [r for r in self.runs if not self.gone[r[0]]]
 
 
-def main_text(source: str | None) -> str:
-    """The article's blocks, white space in a block made one blank, joined by two \\n; empty for null and empty pages."""
-    if not source:
-        return ""
-    page = _Page(source)
-    page.drop_marked()
+def densities(page: _Page):
+    """(chars, tags, link_chars, link_tags, body, density, sums, own) of each node: its density is the logarithm-adjusted
+    characters per tag of its subtree, sums add up its children's densities, own counts text that is no block's."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -151,9 +193,7 @@ def main_text(source: str | None) -> str:
     body = next((x for x in range(n) if page.tag[x] == "body"), 0)
     if not chars[body]:
         body = 0
-    if not chars[body]:
-        return ""
-    ratio = link_chars[body] / chars[body]
+    ratio = link_chars[body] / max(1, chars[body])
     density = [0.0] * n
     for x in range(n):
         if chars[x] and not page.gone[x]:
@@ -171,6 +211,19 @@ def main_text(source: str | None) -> str:
         own[node] += len(" ".join(text.split()))
     for x in range(n - 1, 0, -1):
         own[page.parent[x]] += own[x] if page.tag[x] in INLINE else 0
+    return chars, tags, link_chars, link_tags, body, density, sums, own
+
+
+def main_text(source: str | None) -> str:
+    """The article's blocks, white space in a block made one blank, joined by two \\n; empty for null and empty pages."""
+    if not source:
+        return ""
+    page = _Page(source)
+    page.drop_marked()
+    n = len(page.tag)
+    chars, tags, link_chars, link_tags, body, density, sums, own = densities(page)
+    if not chars[body]:
+        return ""
     best = max((x for x in range(n) if not page.gone[x] and chars[x] and page.tag[x] not in INLINE), key=lambda x: (sums[x] + density[x] * own[x] / chars[x], -x))
     path = [best]
     while path[-1] not in (body, 0):
@@ -192,9 +245,11 @@ def main_text(source: str | None) -> str:
         if k and y not in on_path and not page.gone[y]:
             if density[y] >= threshold and k <= outside or holds[y] and (density[y] >= threshold or rate[y] >= least_rate):
                 chosen.add(y)
+    listed = [link_tags[x] >= LINKS and link_chars[x] >= LINKED * chars[x] and page.tag[x] not in INLINE for x in range(n)]
     inside = [False] * n
     for x in range(n):
-        inside[x] = (x in chosen or inside[page.parent[x]] if x else 0 in chosen) and not page.gone[x]
+        up = inside[page.parent[x]] and (not listed[x] or listed[best]) if x else False
+        inside[x] = (x in chosen or up) and not page.gone[x]
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.runs:
         if inside[node]:

@@ -150,8 +150,9 @@ def _estimate(key: list, n: int, mean: np.ndarray, cov: np.ndarray, det: float |
 
 def _met(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     """cells with their KEY's estimates, which are dealt out once a salt, so a large group is joined in many tasks."""
-    salts = F.sequence(F.lit(0), F.lit(shuffle_parts(cells.sparkSession) - 1))
-    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.size(salts))).join(estimates.withColumn("salt", F.explode(salts).cast("bigint")), [*KEY, "salt"]).drop("salt")
+    n = shuffle_parts(cells.sparkSession)
+    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(n).cast("bigint"))).join(salted, [*KEY, "salt"]).drop("salt")
 
 
 def _from_sums(sums: DataFrame, factor: float) -> DataFrame:
