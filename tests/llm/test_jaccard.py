@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from weir.llm import jaccard_query
-from weir.llm.jaccard import jaccard_groups
+from weir.llm.jaccard import jaccard_groups, overlaps
 
 
 def copies(rng, n):
@@ -53,6 +53,25 @@ def test_odd_texts(frame, odd_texts):
     check(frame(texts), dict(enumerate(texts)))
 
 
+def test_repeated_and_null_ids(spark):
+    a, b, c = ("a b c d e f g h i j", "a b c d e f g h i j k", "other words that stand in no other text")
+    rows = [(None, a), (2, a), (2, c), (2, c), (3, b), (None, None), (4, None), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as n", "3 as component_id", "4 as set")
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in jaccard_groups(df).collect()), key=str)
+    assert got == sorted([(None, 6, None), (2, 6, 2), (2, 4, 2), (2, 4, 2), (3, 7, 2), (None, 0, None), (4, 0, 4), (5, 4, 2)], key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_partial_counts_sum_up(seed):
+    """Overlaps by wide fragments of the order, summed, are those of the whole sets."""
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 2**64, 300, np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(1, 120), replace=False)) for _ in range(30)]
+    top = [x >> np.uint64(62) for x in sets]
+    whole = sum(overlaps([x[t == np.uint64(f)] for x, t in zip(sets, top, strict=True)]) for f in range(4))
+    assert whole.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
+
+
 def test_empty_table(frame):
     assert jaccard_groups(frame(["x"]).limit(0)).count() == 0
 

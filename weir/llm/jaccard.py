@@ -4,16 +4,18 @@ The global order is that of the shingles' 64-bit hashes. Sets are put into size
 same or in adjacent ones; for a class the order is cut into twice as many fragments as linked sets can have differences, so two
 linked sets agree on many whole fragments. Only sets that share so many of theirs stay. Of these each keeps its rarest
 fragments, one more than a linked set can lack; sets that share one of those are candidates (exact; nothing is sampled).
-Candidates are compared by counting overlaps fragment by fragment and summing per pair, in blocks of bounded size. A
-cluster of candidates larger than a block first links each block and a few leaders; then only the sets outside its
-largest component meet the other blocks, so that a large group of near copies costs in proportion to its size.
+For verification the order is cut into a few wide fragments: a task for each one counts the partial overlaps of candidates
+in it, and the counts of all fragments are summed per pair. Candidates are compared in blocks of bounded size; partial
+counts travel as one matrix for each block and fragment, so copies make no row per pair. A cluster of candidates larger
+than a block first links each block and a few leaders; then only the sets outside its largest component meet the other
+blocks, so that a large group of near copies costs in proportion to its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from weir.llm.components import components
 from weir.llm.exchange import frequencies, frequency
 
 WORDS = 5
-BLOCK, LEADERS, FRAGMENT = 400, 8, 4096
+BLOCK, LEADERS, COLUMNS = 400, 8, 4096
+#: Wide fragments of the order for verification: powers of two.
+WIDE = 4
 
 # Size classes [BOUNDS[c], BOUNDS[c + 1]): a set linked at four fifths is at most a quarter larger.
 BOUNDS = [1]
@@ -131,56 +135,39 @@ def agreeing(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[pick], np.repeat(least, size)[pick]
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Matrix of |a[i] & b[j]|: partial counts of each fragment of the order, summed per pair."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
-    sides = []
-    for side in (a, b):
-        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
-        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
-        ok = both[at] == flat if len(both) else np.zeros(len(flat), bool)
-        order = np.argsort(at[ok], kind="stable")
-        sides.append((at[ok][order], row[ok][order]))
-    for lo in range(0, len(both), FRAGMENT):
-        width = min(FRAGMENT, len(both) - lo)
-        part = []
-        for (at, row), rows in zip(sides, (len(a), len(b)), strict=True):
-            cut = slice(*np.searchsorted(at, [lo, lo + width]))
-            m = np.zeros((rows, width), np.float32)
-            m[row[cut], at[cut] - lo] = 1
-            part.append(m)
-        out += (part[0] @ part[1].T).astype(np.int64)  # counts below 2^24 are exact
-    return out
-
-
-def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the overlaps of ascending distinct hashes, row by row."""
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    both, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    out = np.diag([len(x) for x in rows]).astype(np.int64)
+    several = times > 1  # what one row has alone is in no overlap
+    place, keep = np.cumsum(several) - 1, several[at]
+    at, row = place[at[keep]], row[keep]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    shared = np.zeros((len(rows), len(rows)), np.int64)
+    for lo in range(0, int(several.sum()), COLUMNS):
+        cut = slice(*np.searchsorted(at, [lo, lo + COLUMNS]))
+        m = np.zeros((len(rows), COLUMNS), np.float32)
+        m[row[cut], at[cut] - lo] = 1
+        shared += (m @ m.T).astype(np.int64)  # counts below 2^24 are exact
+    np.fill_diagonal(shared, 0)
+    return out + shared
+
+
+def linked(sizes: np.ndarray, inter: np.ndarray) -> np.ndarray:
     """Whether 100 * |a & b| >= 80 * |a | b|, as a matrix."""
-    inter = overlaps(a, b)
-    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
-    return 100 * inter >= 80 * union
+    return 100 * inter >= 80 * (sizes[:, None] + sizes[None, :] - inter)
 
 
 _LINK = "a long, b long"
 
 
-def _links(ids_a: np.ndarray, ids_b: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(ids: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links in ok: each component's first member with the others found from it."""
-    same = len(ids_a) == len(ids_b) and np.array_equal(ids_a, ids_b)
-    if not same:
-        i, j = np.nonzero(ok)
-        # one link for each member of a and each distinct row pattern is enough; keep first link per a and per b
-        keep = np.zeros(len(i), bool)
-        keep[np.unique(i, return_index=True)[1]] = True
-        keep[np.unique(j, return_index=True)[1]] = True
-        label = _labels(len(ids_a) + len(ids_b), i[keep], j[keep] + len(ids_a))
-        rest = np.flatnonzero(label[i] != label[j + len(ids_a)])
-        keep[rest] = True
-        return ids_a[i[keep]], ids_b[j[keep]]
-    i, j = np.nonzero(np.triu(ok, 1))
-    label = _labels(len(ids_a), i, j)
+    label = _labels(len(ids), *np.nonzero(np.triu(ok, 1)))
     other = np.flatnonzero(label != np.arange(len(label)))
-    return ids_a[label[other]], ids_a[other]
+    return ids[label[other]], ids[other]
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -205,13 +192,78 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
 
 
+UNIT = ("cluster", "query", "block")
+_PARTIAL = "bucket int, " + ", ".join(f"{k} long" for k in UNIT) + ", ids binary, counts binary"
+
+
+def verified_links(units: DataFrame, buckets: int) -> DataFrame:
+    """units (UNIT, id, hashes), a bounded number of sets in each -> a spanning set (a, b) of the links inside each unit.
+
+    A row for each set and wide fragment goes to the fragment's tasks, which count overlaps in it; the counts of a unit
+    meet in one task and are summed per pair.
+    """
+    shift = np.uint64(64 - (WIDE - 1).bit_length())
+
+    def cut(batches):
+        for b in batches:
+            columns = {k: [] for k in ("row", "fragment", "segment")}
+            for n, x in enumerate(b.column("hashes").to_pylist()):
+                h = np.frombuffer(x, np.uint64)
+                at = np.searchsorted(h >> shift, np.arange(WIDE + 1)).tolist()
+                for f in range(WIDE):
+                    if at[f] < at[f + 1]:
+                        columns["row"].append(n)
+                        columns["fragment"].append(f)
+                        columns["segment"].append(x[8 * at[f] : 8 * at[f + 1]])
+            rows = b.select(["bucket", *UNIT, "id"]).take(pa.array(columns["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(columns["fragment"], pa.int32()), pa.array(columns["segment"], pa.binary())], [*rows.schema.names, "fragment", "segment"])
+
+    def runs(table: pa.Table):
+        table = table.sort_by([(k, "ascending") for k in UNIT])
+        keys = np.stack([table.column(k).to_numpy() for k in UNIT], 1)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])), len(keys)).tolist()
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            yield keys[x].tolist(), table.slice(x, y - x)
+
+    def partial(table: pa.Table) -> pa.Table:
+        out = []
+        for key, own in runs(table):
+            ids, first = np.unique(own.column("id").to_numpy(), return_index=True)
+            segments = own.column("segment").to_pylist()
+            counts = overlaps([np.frombuffer(segments[n], np.uint64) for n in first])
+            counts = counts[np.triu_indices(len(ids))].astype(np.uint32).tobytes()
+            out.append([*key, ids.astype(np.int64).tobytes(), zstandard.ZstdCompressor(1).compress(counts)])
+        columns = list(zip(*out, strict=True))
+        return pa.table({"bucket": table.column("bucket").slice(0, 1).take([0] * len(out)), **{k: pa.array(c, pa.int64() if k in UNIT else pa.binary()) for k, c in zip((*UNIT, "ids", "counts"), columns, strict=True)}})
+
+    def total(table: pa.Table) -> pa.Table:
+        found = []
+        for _, own in runs(table):
+            parts = [(np.frombuffer(i, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)) for i, c in zip(own.column("ids").to_pylist(), own.column("counts").to_pylist(), strict=True)]
+            ids = np.unique(np.concatenate([i for i, _ in parts]))
+            inter = np.zeros((len(ids), len(ids)), np.int64)
+            for i, c in parts:
+                at, (u, v) = np.searchsorted(ids, i), np.triu_indices(len(i))
+                inter[at[u], at[v]] += c
+            inter = np.maximum(inter, inter.T)
+            found.append(_links(ids, linked(np.diag(inter), inter)))
+        return _table(found)
+
+    bucket = F.pmod(F.xxhash64(*UNIT), F.lit(buckets)).cast("int").alias("bucket")
+    rows = units.select(bucket, *[F.col(k).cast("long").alias(k) for k in UNIT], "id", "hashes")
+    schema = "bucket int, " + ", ".join(f"{k} long" for k in UNIT) + ", id long, fragment int, segment binary"
+    counts = rows.mapInArrow(cut, schema).groupBy("bucket", "fragment").applyInArrow(partial, _PARTIAL)
+    return counts.groupBy("bucket").applyInArrow(total, _LINK)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id): distinct five-word shingles and the least id reachable by links of 0.8.
 
-    Ids are distinct longs; rows with a null id are left out. A text of fewer words is one shingle; null and empty texts
-    and those without words have none and link with nothing. Equal sets are one candidate, whatever their number.
+    A row for each row of docs. Rows with equal ids are rows like others; those with a null id link with nothing and have
+    no component. A text of fewer words is one shingle; null and empty texts and those without words have none and link
+    with nothing. Equal sets are one candidate, whatever their number.
     """
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
 
     def measure(batches):
@@ -228,7 +280,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in arrays)], ["id", "n", "set", "least0", "least1"])
 
     measured = stash(own.mapInArrow(measure, "id long, n long, set long, least0 long, least1 long"), "sets")
-    reps = measured.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("least0").alias("least0"), F.max("least1").alias("least1"))
+    reps = measured.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("least0").alias("least0"), F.max("least1").alias("least1"))
     parts = parts_for(spark, measured.agg(F.sum("n")).first()[0] or 0, 2_000_000)
 
     def sign(batches):
@@ -271,12 +323,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def gather(batches):
         for b in batches:
             data, offs = utf8(b.column(1))
-            out = []
+            out, names = [], [np.zeros(0, np.uint64)]
             for lo, hi in slices(offs):
                 h, ends = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], WORDS)
                 out += [h[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "hashes"])
+                names.append(set_ids(h, ends))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(out, pa.binary())], ["id", "hashes"])
 
+    # from here on sets go by their own ids
     sets = stash(own.join(stay, F.col("id") == F.col("_rep"), "left_semi").mapInArrow(gather, "id long, hashes binary"), "near")
 
     groups = parts_for(spark, sets.agg(F.sum(F.length("hashes"))).first()[0] or 0, 4 << 20)
@@ -313,29 +367,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = stash(sets.join(members, F.col("id") == F.col("node")).select("id", "cluster", "size", "hashes"), "clusters")
     n_near = near.count()
 
-    def small(table: pa.Table) -> pa.Table:
-        """All links inside each cluster of a bucket."""
-        table = table.sort_by([("cluster", "ascending"), ("id", "ascending")])
-        of, ids, sets = table.column("cluster").to_numpy(), table.column("id").to_numpy(), _sets(table)
-        cut = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of)).tolist()
-        return _table([_links(ids[x:y], ids[x:y], linked(sets[x:y], sets[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)])
-
-    bucket = F.pmod(F.xxhash64("cluster"), F.lit(parts_for(spark, n_near, 300)))
-    links = near.where(F.col("size") <= block).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(small, _LINK)
+    zero = F.lit(0)
+    inside = near.where(F.col("size") <= block).select("cluster", zero.alias("query"), zero.alias("block"), "id", "hashes")
 
     large = near.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     # the leaders: those of the first hash values, about LEADERS in a cluster
     leads = large.where(F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("size") / LEADERS)) == 0)
     spread = leads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = large.unionByName(spread).dropDuplicates(["cluster", "block", "id"])
-
-    def within(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, sets = table.column("id").to_numpy(), _sets(table)
-        return _table([_links(ids, ids, linked(sets, sets))])
-
-    first = stash(links.unionByName(dealt.groupBy("cluster", "block").applyInArrow(within, _LINK)), "links")
+    dealt = large.unionByName(spread).select("cluster", zero.alias("query"), (F.col("block") + 1).alias("block"), "id", "hashes")
+    buckets = parts_for(spark, n_near, 300)
+    first = stash(verified_links(inside.unionByName(dealt), buckets), "links")
     if large.limit(1).count():
         found = components(first)
         state = large.join(found, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
@@ -348,19 +390,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = large.join(rest.select("cluster", "queries").distinct(), "cluster").withColumn("query", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)))
 
-        keys = ("cluster", "query", "block")
-        tasks = asked.select(*keys, "id", "hashes", F.lit(True).alias("asks"))
-        tasks = tasks.unionByName(every.select(*keys, "id", "hashes", F.lit(False).alias("asks")))
-
-        def across(table: pa.Table) -> pa.Table:
-            asks = table.column("asks")
-            left, right = table.filter(asks), table.filter(pc.invert(asks))
-            if not len(left) or not len(right):
-                return _table([])
-            return _table([_links(left.column("id").to_numpy(), right.column("id").to_numpy(), linked(_sets(left), _sets(right)))])
-
-        more = tasks.groupBy(*keys).applyInArrow(across, _LINK)
-        first = first.unionByName(more)
+        met = asked.select(*UNIT, "id", "hashes").unionByName(every.select(*UNIT, "id", "hashes"))
+        first = first.unionByName(verified_links(met, buckets))
     linked_sets = components(first)
-    named = measured.select("id", "n", "set").join(reps.select("set", "rep"), "set", "left").join(linked_sets, F.col("rep") == F.col("node"), "left")
-    return named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+    least = linked_sets.join(reps, F.col("node") == F.col("set")).groupBy("component").agg(F.min("rep").alias("least"))
+    least = reps.join(linked_sets.join(least, "component"), F.col("set") == F.col("node"), "left").select("set", F.coalesce("least", "rep").alias("least"))
+    named = measured.select("id", "n", "set").join(least, "set", "left")
+    return named.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
