@@ -51,3 +51,22 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, odd_texts):
+    """Null and repeated ids, equal rows, nulls everywhere, and columns with the operators' names pass every stage."""
+    prose = " ".join(f"word{n} of the text" for n in range(30))
+    texts = [*odd_texts, prose, prose, prose + " more", f"{prose}\nnext line\nlast line of it", None]
+    rows = [(n, t, "en", "web", 0) for n, t in enumerate(texts)] + [(None, prose, None, None, None), (None, prose, None, None, None), (12, prose, "en", "web", 1), (3, None, None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 as id", "'k' as kept", "2 as g", "3 as _kept", "4 as lines_removed", "5 as c0", "6 as row", "7 as data", "8 as set")
+    for name, stage in cp.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, None)
+            got = out.collect()
+            assert name == "packing" or out.columns == docs.columns
+            assert bool(got) == (df is docs), name
+        if name in ("quality_rules", "ngram_jaccard", "suffix_array"):
+            assert sum(r.doc_id is None for r in stage(spark, docs, None).collect()) == 2, name
+        if name != "packing":
+            assert {(r.id, r.kept, r.g, r._kept, r.lines_removed, r.c0, r.row, r.data, r.set) for r in stage(spark, docs, None).collect()} == {(1, "k", 2, 3, 4, 5, 6, 7, 8)}
