@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from weir.llm import quality_query
+from weir.llm import quality, quality_query
 from weir.llm.quality import FLOORS, UNITS, chi2, document_statistics, quality_rules, truncation
 
 WORDS = "the of and to in is was for on that with as by at from his it an were which are this also be had has first one their its".split()
@@ -109,6 +109,14 @@ def test_distances_are_those_of_numpy(spark, frame):
     assert not any(out[n].kept for n in range(120, 126)) and all(out[n].kept for n in range(120)) and not out[1007].kept
 
 
+def test_many_groups_are_salted(frame, monkeypatch):
+    rng = random.Random(7)
+    df = frame([prose(rng, rng.randrange(30, 90)) for _ in range(40)] + ["#$% " * 40 + prose(rng, 30)])
+    want = sorted((r.id, r.distance) for r in quality_rules(document_statistics(df)).collect())
+    monkeypatch.setattr(quality, "FEW", 0)
+    assert sorted((r.id, r.distance) for r in quality_rules(document_statistics(df)).collect()) == want
+
+
 def test_several_starts_can_differ():
     """The determinants decide: of two clusters the narrower majority wins, wherever the mean lies."""
     rng = np.random.default_rng(3)

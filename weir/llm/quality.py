@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import shuffle_parts, stash
+from weir.llm.common import stash
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("f1", "f2", "f3", "f4")
@@ -29,6 +29,8 @@ UNITS = (1000, 100, 1000, 1000)
 FLOORS = (0.03, 0.15, 0.05, 0.03)
 PAIRS = [(a, b) for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]
 KEY = ("level", "g0", "g1")
+#: Estimates that are broadcast at most (a few MB), and tasks that share a group beyond that.
+FEW, SALTS = 10_000, 32
 #: Documents' worth of the wider estimate that go into a narrower one.
 PRIOR = 60
 
@@ -149,10 +151,12 @@ def _estimate(key: list, n: int, mean: np.ndarray, cov: np.ndarray, det: float |
 
 
 def _met(cells: DataFrame, estimates: DataFrame) -> DataFrame:
-    """cells with their KEY's estimates, which are dealt out once a salt, so a large group is joined in many tasks."""
-    n = shuffle_parts(cells.sparkSession)
-    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(n).cast("bigint"))).join(salted, [*KEY, "salt"]).drop("salt")
+    """cells with their KEY's estimates (a written table). Few of them are broadcast; many are dealt out once a salt, so
+    that a large group is joined and summed in many tasks either way."""
+    if estimates.count() <= FEW:
+        return cells.join(F.broadcast(estimates), list(KEY))
+    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS).cast("bigint"))).join(salted, [*KEY, "salt"]).drop("salt")
 
 
 def _from_sums(sums: DataFrame, factor: float) -> DataFrame:
