@@ -150,8 +150,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["queue_depth"] == 1
     cli.main(["bench", "pipeline", "--count", "1000"])
     rows = [json.loads(x) for x in capsys.readouterr().out.split("\n") if x]
-    assert {r["backend"] for r in rows} == {"expr", "py"} and all(r["throughput_msg_s"] > 0 for r in rows)
+    assert [(r["backend"], r["batch_size"]) for r in rows] == [("expr", 1), ("py", 1), ("py_batch", 64), ("py_batch", 256), ("py_batch", 1024)] and all(r["throughput_msg_s"] > 0 for r in rows)
     cli.main(["bench", "channel", "--count", "100", "--message-size", "64"])
     assert "throughput_gib_s" in capsys.readouterr().out
     cli.main(["tables", "remove", str(tmp_path / "x")])
     cli.main(["tables", "list", str(tmp_path / "x")])
+
+
+def test_producers_take_turns(spark, tmp_path):
+    import threading
+
+    path = str(tmp_path / "many")
+    sent = []
+
+    def produce(n):
+        c = MessageChannel.create(spark, path, multi_producer=True)
+        sent.append(c.send_frame(spark.createDataFrame([(i, f"{n}-{i}".encode()) for i in range(5)], "seq long, payload binary"), producer=str(n)))
+
+    MessageChannel.create(spark, path)
+    threads = [threading.Thread(target=produce, args=(n,)) for n in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    rows = MessageChannel.open(spark, path, multi_producer=True).read().collect()
+    assert sent == [5] * 4 and sorted(r.seq for r in rows) == list(range(20))
+    for n in range(4):  # each producer's messages keep their order
+        assert [r.payload for r in sorted(rows, key=lambda r: r.seq) if r.producer == str(n)] == [f"{n}-{i}".encode() for i in range(5)]
+
+
+def test_cleanup_and_inspect(spark, tmp_path):
+    from weir.__main__ import tables
+
+    c = MessageChannel.create(spark, str(tmp_path / "a"), multi_producer=True, timeout=0.1)
+    c.send(b"1", b"2")
+    (row,) = tables(spark, "inspect", str(tmp_path))
+    assert row["queue_depth"] == 2 and row["rejected"] == 0 and row["files"] > 0 and row["idle_s"] >= 0
+    assert tables(spark, "cleanup", str(tmp_path), 3600) == []
+    (tmp_path / "a" / "producer").write_bytes(b"")  # of a producer that died
+    with pytest.raises(BufferFullError):
+        c.send(b"3")
+    assert len(tables(spark, "list", str(tmp_path))) == 1
+    assert len(tables(spark, "cleanup", str(tmp_path), 0)) == 1
+    assert tables(spark, "list", str(tmp_path)) == []

@@ -78,15 +78,31 @@ def test_functions(spark):
     assert run(spark, Pipeline().filter_py(lambda r: "b" in r), [{"a": 1}, {"a": 1, "b": 2}]) == [{"a": 1.0, "b": 2.0}]
 
 
-def test_function_errors_reach_the_caller(spark):
-    with pytest.raises(Exception, match="ZeroDivisionError"):
+def test_function_errors_reach_the_caller(spark, tmp_path):
+    class Odd(Exception):  # the workers can't import this module
+        pass
+
+    def odd(v):
+        raise Odd("seen", v)
+
+    with pytest.raises(ZeroDivisionError):
         run(spark, Pipeline().map_py(lambda v: 1 / (v - v)), [1])
-    with pytest.raises(Exception, match="ValueError"):
+    with pytest.raises(ValueError, match="text"):
         run(spark, Pipeline().map_py(lambda v: "text"), [1])
+    with pytest.raises(KeyError):
+        run(spark, Pipeline().filter_py(lambda r: r["none"] > 1), [{"a": 1}])
+    for p in (Pipeline().map_py(odd), Pipeline().flat_map_py(odd), Pipeline().batch(2).filter_py_batch(odd), Pipeline().batch(2).map_py_batch(odd)):
+        with pytest.raises(Odd) as e:
+            run(spark, p, [1])
+        assert e.value.args == ("seen", 1.0)
+    with pytest.raises(Odd):
+        Pipeline().map_py(odd).sink(f"file://{tmp_path}/out").run([1, 2], spark)
 
 
 def test_flat_map(spark):
     assert run(spark, Pipeline().flat_map(lambda c: F.sequence(F.lit(1), c["x"].cast("int"))), [2]) == [1.0, 2.0]
+    assert run(spark, Pipeline().flat_map_py(lambda v: range(int(v))), [2, 0, 3]) == [0.0, 1.0, 0.0, 1.0, 2.0]
+    assert run(spark, Pipeline().flat_map_py(lambda r: r.values()).map_expr("x * 2"), [{"a": 1, "b": 2}, {"a": 3}]) == [2.0, 4.0, 6.0]
 
 
 def test_declarative(spark):

@@ -5,12 +5,13 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.errors import BufferFullError, CorruptedMessageError, MessageTooLargeError
-from weir.operators.ordering import with_position
+from weir.operators.ordering import ROWS_PER_TASK, order_piece, with_position
 
 #: Bytes of a slot that chunk metadata takes: three fields with a 6-byte head and an 8-byte value.
 CHUNK_METADATA = 3 * (6 + 8)
@@ -70,13 +71,13 @@ def split_corrupted(df: DataFrame, payload: str = "payload", checksum: str = "ch
     return df.where(ok), df.where(~ok)
 
 
-def sequence_gaps(df: DataFrame, seq: str = "seq") -> DataFrame:
+def sequence_gaps(df: DataFrame, seq: str = "seq", per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(expected, seq, missing) where a sequence number isn't the one after the last. Pieces of the order are compared
-    in parallel: a number's predecessor is found in its own block of numbers, or at the last block's end."""
-    block = 1 << 20
-    own = df.select(F.col(seq).alias("seq"), F.expr(f"{seq} div {block}").alias("_b"))
+    in parallel: a number's predecessor is found in its own piece, or at the end of the piece before it."""
+    piece, _ = order_piece(df, seq, per_task)
+    own = df.select(F.col(seq).alias("seq"), piece.alias("_b")).where("seq is not null")
     edges = own.groupBy("_b").agg(F.max("seq").alias("_last"))
-    edges = edges.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_before"))
+    edges = edges.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_before"))  # a row per piece
     inside = F.lag("seq").over(Window.partitionBy("_b").orderBy("seq"))
     rows = own.withColumn("_prev", inside).join(edges, "_b").withColumn("_prev", F.coalesce("_prev", "_before"))
     return rows.where("seq - _prev <> 1").select((F.col("_prev") + 1).alias("expected"), "seq", (F.col("seq") - F.col("_prev") - 1).alias("missing"))
@@ -98,22 +99,31 @@ def merge_producers(first: DataFrame, *others: DataFrame, order_by: str, name: s
 
 def drop_newest(df: DataFrame, capacity: int, slot_size: int | None = None, seq: str = "seq", payload: str = "payload") -> DataFrame:
     """The messages that find room when none is taken out. Those of one size are accepted up to some point of the order,
-    so the first capacity / size of each size decide; they are folded in order, and at most `capacity` are kept."""
-    size = F.lit(1).cast("long") if slot_size is None else slots(F.octet_length(payload), slot_size)
-    rows = df.withColumn("_slots", size).where(F.col("_slots") <= capacity)
-    first = rows.select(seq, "_slots").withColumn("_n", F.row_number().over(Window.partitionBy("_slots").orderBy(seq)))
-    first = first.where(f"_n <= {capacity} div _slots")
-    order = first.agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_slots").alias("n")))).alias("m"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("seqs"))
-
-    def take(state: Column, m: Column) -> Column:
-        fits = state["used"] + m["n"] <= capacity
-        used = F.when(fits, state["used"] + m["n"]).otherwise(state["used"])
-        seqs = F.when(fits, F.concat(state["seqs"], F.array(m["s"].cast("long")))).otherwise(state["seqs"])
-        return F.struct(used.alias("used"), seqs.alias("seqs"))
-
-    kept = order.select(F.explode(F.aggregate("m", start, take)["seqs"]).alias("_seq"))
-    return df.join(F.broadcast(kept), F.col(seq) == F.col("_seq"), "left_semi")  # at most `capacity` numbers
+    so the first capacity / size of each size decide: they meet in one task, which gives that point for each size (at most
+    `capacity` rows)."""
+    if slot_size is None:
+        return df.orderBy(seq).limit(max(0, capacity))
+    rows = df.withColumn("_slots", slots(F.octet_length(payload), slot_size)).where(F.col("_slots") <= capacity)
+    first = rows.select(F.col(seq).alias("seq"), "_slots").withColumn("_n", F.row_number().over(Window.partitionBy("_slots").orderBy("seq")))
+    first = first.where(f"_n <= {capacity}").where(f"_n <= {capacity} div _slots")  # the literal bound cuts before the shuffle
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        at, size, room, last = np.arange(t.num_rows), t["_slots"].to_numpy(), capacity, {}
+        while len(at):  # up to the next message that finds no room; messages of its size or more find none from there on
+            used = np.cumsum(size[at])
+            fits = int(np.searchsorted(used, room, side="right"))
+            for n, i in zip(size[at[:fits]].tolist(), at[:fits].tolist(), strict=True):
+                last[n] = i
+            room -= int(used[fits - 1]) if fits else 0
+            at = at[fits:]
+            at = at[size[at] <= room]
+        return pa.table({"_size": pa.array(last.keys(), pa.int64()), "_last": t["seq"].take(pa.array(last.values(), pa.int64()))})
+
+    kind = df.schema[seq].dataType.simpleString()
+    ends = first.select("seq", "_slots").groupBy().applyInArrow(fold, f"_size long, _last {kind}")
+    kept = (F.col("_slots") == F.col("_size")) & (F.col(seq) <= F.col("_last"))
+    return rows.join(F.broadcast(ends), kept, "left_semi").drop("_slots")
 
 
 def drop_oldest(df: DataFrame, capacity: int, slot_size: int | None = None, seq: str = "seq", payload: str = "payload") -> DataFrame:

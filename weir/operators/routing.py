@@ -12,10 +12,8 @@ STRATEGIES = ("round_robin", "hash", "broadcast")
 
 def fnv1a32(key: Column) -> Column:
     """32-bit FNV-1a of a binary column, as a LONG."""
-    size = F.octet_length(key)
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda p: F.conv(F.hex(F.substring(key, p, F.lit(1))), 16, 10).cast("long"))
-    mixed = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: h.bitwiseXOR(b) * F.lit(16777619).cast("long") % F.lit(4294967296).cast("long"))
-    return F.when(size == 0, F.lit(2166136261).cast("long")).otherwise(mixed)
+    bytes_of = F.filter(F.split(F.decode(key, "ISO-8859-1"), ""), lambda c: c != "")  # a character for each byte
+    return F.aggregate(bytes_of, F.lit(2166136261).cast("long"), lambda h, b: h.bitwiseXOR(F.ascii(b).cast("long")) * F.lit(16777619).cast("long") % F.lit(4294967296).cast("long"))
 
 
 def route_round_robin(df: DataFrame, shards: int, order_by: str, producer: str | None = None) -> DataFrame:

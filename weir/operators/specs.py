@@ -70,7 +70,14 @@ class FlatMap:
     array: Callable
 
 
-Spec = FilterExpr | MapExpr | FilterPy | MapPy | FilterPyBatch | MapPyBatch | Batch | Select | FlatMap
+@dataclass(frozen=True)
+class FlatMapPy:
+    """fn: gives any number of numbers for an item; each becomes an item."""
+
+    fn: Callable
+
+
+Spec = FilterExpr | MapExpr | FilterPy | MapPy | FilterPyBatch | MapPyBatch | Batch | Select | FlatMap | FlatMapPy
 
 
 def filter_expr(expr: str) -> FilterExpr:
@@ -110,3 +117,7 @@ def select(*columns) -> Select:
 
 def flat_map(array: Callable) -> FlatMap:
     return FlatMap(array)
+
+
+def flat_map_py(fn: Callable) -> FlatMapPy:
+    return FlatMapPy(fn)

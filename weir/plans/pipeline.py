@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import pickle
+import re
 import warnings
 from collections.abc import Iterable
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +78,9 @@ class Pipeline:
     def flat_map(self, array) -> Pipeline:
         return self.pipe(S.flat_map(array))
 
+    def flat_map_py(self, fn) -> Pipeline:
+        return self.pipe(S.flat_map_py(fn))
+
     # --- lowering ---
 
     def apply(self, df: DataFrame, order_by: str | None = None, keep: tuple[str, ...] = (), scalar: bool | None = None) -> DataFrame:
@@ -101,8 +110,8 @@ class Pipeline:
         state = _State(rows, scalar, f"{_KEY}seq")
         for spec in self._specs:
             state = state.step(spec)
-        out = state.rows.orderBy(f"`{state.order}`").collect()
-        return [state.item(r) for r in out]
+        with original_errors():
+            return [state.item(r) for r in state.rows.orderBy(f"`{state.order}`").collect()]
 
     # --- sources and sinks ---
 
@@ -155,10 +164,14 @@ class Pipeline:
         if not self._sink:
             raise RuntimeError("no sink")
         spark = spark or SparkSession.active()
-        return MessageChannel.open_url(spark, self._sink).send_frame(self.messages(spark, source))
+        return self._sent(MessageChannel.open_url(spark, self._sink), source)
 
     def send_to(self, source: Iterable, channel) -> int:
-        return channel.send_frame(self.messages(channel.spark, source))
+        return self._sent(channel, source)
+
+    def _sent(self, channel, source: Iterable | None) -> int:
+        with original_errors():
+            return channel.send_frame(self.messages(channel.spark, source))
 
     def receive_from(self, channel) -> list:
         """Drain a channel through the pipeline; the results in order."""
@@ -168,7 +181,35 @@ class Pipeline:
         state = _State(rows, True, f"{_KEY}seq")
         for spec in self._specs:
             state = state.step(spec)
-        return [state.item(r) for r in state.rows.orderBy(f"`{state.order}`").collect()]
+        with original_errors():
+            return [state.item(r) for r in state.rows.orderBy(f"`{state.order}`").collect()]
+
+
+_CARRIED = "weir-error:"
+
+
+def _carrying(fn):
+    """fn, whose exceptions travel in the message of another one, so that original_errors() can raise them on the driver."""
+
+    def call(*v):
+        try:
+            return fn(*v)
+        except Exception as e:
+            raise RuntimeError(f"{_CARRIED}{base64.b64encode(cloudpickle.dumps(e)).decode()};") from e
+
+    return call
+
+
+@contextmanager
+def original_errors():
+    """Raises what a Python function of a pipeline raised in place of Spark's PythonException, which becomes its cause."""
+    try:
+        yield
+    except PySparkException as e:
+        found = re.search(_CARRIED + r"([A-Za-z0-9+/=]+);", str(e))
+        if not found:
+            raise
+        raise pickle.loads(base64.b64decode(found[1])) from e
 
 
 def _plain(x):
@@ -240,11 +281,12 @@ class _State:
 
     def _called(self, fn, kind: T.DataType) -> Column:
         """fn of the item: batches of the columns reach Python by Arrow, and dicts are built there."""
+        fn = _carrying(fn)
         if self.batched or self.scalar:
             return F.udf(lambda v: fn(_plain(v)), kind, useArrow=True)(self.value())
         names = self.fields
         if not names:
-            return F.udf(lambda: fn({}), kind)()
+            return F.udf(lambda _: fn({}), kind, useArrow=True)(F.lit(True))
         record = F.udf(lambda *v: fn({k: x for k, x in zip(names, v, strict=True) if x is not None}), kind, useArrow=True)
         return record(*[F.col(f"`{c}`") for c in names])
 
@@ -266,8 +308,8 @@ class _State:
     def _FilterPyBatch(self, spec: S.FilterPyBatch) -> _State:
         if not self.batched:
             return self._FilterPy(S.FilterPy(spec.fn))
-        fn = spec.fn
-        kept = F.udf(lambda v: [x for x in v if fn(_plain(x))], T.ArrayType(self._element()))(F.col(ITEMS))
+        fn = _carrying(spec.fn)
+        kept = F.udf(lambda v: [x for x in v if fn(_plain(x))], T.ArrayType(self._element()), useArrow=True)(F.col(ITEMS))
         return self.with_items(kept.alias(ITEMS))
 
     def _MapPyBatch(self, spec: S.MapPyBatch) -> _State:
@@ -275,7 +317,8 @@ class _State:
             return self._MapPy(S.MapPy(spec.fn, spec.columns))
         fn, columns = spec.fn, spec.columns
         kind = T.ArrayType(_record(columns) if columns else T.DoubleType())
-        v = F.udf(lambda v: [_result(fn(_plain(x)), columns) for x in v], kind)(F.col(ITEMS))
+        each = _carrying(lambda x: _result(fn(_plain(x)), columns))
+        v = F.udf(lambda v: [each(x) for x in v], kind, useArrow=True)(F.col(ITEMS))
         return self.with_items(v.alias(ITEMS), scalar=not columns)
 
     def _Batch(self, spec: S.Batch) -> _State:
@@ -298,6 +341,11 @@ class _State:
         columns = {c: F.col(f"`{c}`") for c in self.fields}
         return self.with_items(F.explode(spec.array(columns).cast("array<double>")).alias(SCALAR), scalar=True, batched=False)
 
+    def _FlatMapPy(self, spec: S.FlatMapPy) -> _State:
+        fn = spec.fn
+        items = self._called(lambda v: [_number(x) for x in fn(v)], T.ArrayType(T.DoubleType()))
+        return self.with_items(F.explode(items).alias(SCALAR), scalar=True, batched=False)
+
     def item(self, row) -> object:
         if self.batched:
             return _plain(row[ITEMS])
@@ -306,5 +354,5 @@ class _State:
     def text(self) -> Column:
         """Items as Python writes them; only the sink's text needs Python."""
         if self.scalar and not self.batched:
-            return F.udf(repr, T.StringType())(F.col(SCALAR))
-        return F.udf(lambda v: repr(_plain(v)), T.StringType())(self.value())
+            return F.udf(repr, T.StringType(), useArrow=True)(F.col(SCALAR))
+        return F.udf(lambda v: repr(_plain(v)), T.StringType(), useArrow=True)(self.value())

@@ -6,13 +6,17 @@ writers may be on any machine that sees the folder. Structured Streaming reads t
 
 from __future__ import annotations
 
+import time
+import uuid
 import zlib
+from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.errors import BufferEmptyError, ChannelClosedError, CorruptedMessageError, SequenceMismatchError
+from weir.errors import BufferEmptyError, BufferFullError, ChannelClosedError, CorruptedMessageError, SequenceMismatchError
 from weir.operators import messages as M
 from weir.operators.ordering import with_position
 from weir.operators.routing import fnv1a32, route
@@ -21,6 +25,8 @@ from weir.sources.urls import TransportUrl
 SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("producer", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("checksum", T.LongType())]
 )
+#: The file of the producer that writes.
+TURN = "producer"
 _MARK = T.StructType([T.StructField("next", T.LongType())])
 # What Rust-style float parsing takes for a number.
 NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
@@ -153,19 +159,49 @@ class MessageChannel:
 
     def send_frame(self, df: DataFrame, order_by: str = "seq", producer: str | None = None) -> int:
         """Append the payloads of df in the order of order_by; how many were accepted. A failed write leaves no rows:
-        Spark commits a batch's files together."""
+        Spark commits a batch's files together. Several producers take turns, so none gets another one's numbers."""
         if self.closed:
             raise ChannelClosedError("closed")
-        used, top = self._depth()
-        start = max(self._mark(), top)
-        if self.backpressure == "drop_oldest":  # evicted messages leave gaps in the sequence
-            rows = M.admit(with_position(df, order_by, "_pos"), self.backpressure, self.capacity, self.slot_size, order_by)
-        else:
-            rows = with_position(M.admit(df, self.backpressure, self.capacity, self.slot_size, order_by, queued=used), order_by, "_pos")
-        rows = rows.select((F.col("_pos") + start).cast("long").alias("seq"), F.lit(producer).cast("string").alias("producer"), F.col("payload"), F.crc32("payload").alias("checksum"))
-        before = self._all().count()
-        rows.write.mode("append").parquet(self._messages)
-        return self._all().count() - before
+        with self._alone() if self.multi_producer else nullcontext():
+            used, top = self._depth()
+            start = max(self._mark(), top)
+            if self.backpressure == "drop_oldest":  # evicted messages leave gaps in the sequence
+                rows = M.admit(with_position(df, order_by, "_pos"), self.backpressure, self.capacity, self.slot_size, order_by)
+            else:
+                rows = with_position(M.admit(df, self.backpressure, self.capacity, self.slot_size, order_by, queued=used), order_by, "_pos")
+            rows = rows.select((F.col("_pos") + start).cast("long").alias("seq"), F.lit(producer).cast("string").alias("producer"), F.col("payload"), F.crc32("payload").alias("checksum"))
+            sent = Observation()
+            rows.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self._messages)
+            return sent.get.get("n", 0)
+
+    @contextmanager
+    def _alone(self):
+        """A producer's turn: a file that only one of them can create. Waits `timeout` seconds (30 if there is none); the
+        file of a producer that died is removed by `python -m weir tables cleanup`."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{TURN}")
+        fs = path.getFileSystem(conf)
+        until = time.monotonic() + (30 if self.timeout is None else self.timeout)
+
+        def ours() -> bool:
+            if fs.getUri().getScheme() == "file":  # Hadoop's own create looks first and creates then
+                return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+            try:
+                fs.create(path, False).close()
+            except Py4JJavaError:
+                if fs.exists(path):
+                    return False
+                raise
+            return True
+
+        while not ours():
+            if time.monotonic() >= until:
+                raise BufferFullError("another producer is writing")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
 
     def _depth(self) -> tuple[int, int]:
         r = self._all().agg(F.sum(F.when(F.col("seq") >= self._mark(), M.slots(F.octet_length("payload"), self.slot_size))), F.max("seq") + 1).first()
@@ -221,7 +257,14 @@ class ShardedChannel:
     def send_frame(self, df: DataFrame, order_by: str = "seq", key: str | None = None) -> int:
         """Route a whole frame of messages in one plan."""
         routed = route(df, self.strategy, len(self._channels), order_by, key)
-        return sum(c.send_frame(routed.where(F.col("shard") == i), order_by) for i, c in enumerate(self._channels))
+        folder = f"{self._channels[0].path}/routed-{uuid.uuid4().hex}"  # written once, a folder for each shard
+        routed.write.partitionBy("shard").parquet(folder)
+        try:
+            rows = self.spark.read.schema(routed.schema).parquet(folder)
+            return sum(c.send_frame(rows.where(F.col("shard") == i).drop("shard"), order_by) for i, c in enumerate(self._channels))
+        finally:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def shard(self, i: int) -> MessageChannel:
         if isinstance(i, bool) or not isinstance(i, int) or not 0 <= i < len(self._channels):
