@@ -4,10 +4,11 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weir.llm import packing_query
-from weir.llm.packing import cut_pieces, nnls, pack, plan, recipes
+from weir.llm.packing import class_sizes, cut_pieces, nnls, pack, plan, recipes, size_class
 
 
 def test_recipes_fill_the_window():
@@ -37,6 +38,24 @@ def test_plan_uses_up_the_histogram(seed):
     assert plan(np.zeros(33, np.int64)) == []
 
 
+def test_classes(spark):
+    for window, step in ((4096, 16), (64, 4), (32, 1)):
+        sizes = class_sizes(window, step)
+        assert sizes[0] == 0 and sizes[-1] == window
+        got = spark.range(1, window + 1).select("id", size_class(F.col("id"), step)).collect()
+        assert all(u == sizes[np.searchsorted(sizes, n)] and u - n < step for n, u in got)
+
+
+@pytest.mark.parametrize("length", [1, 17, 33, 50, 100, 300, 700])
+def test_documents_of_one_length_leave_little_padding(length):
+    sizes = class_sizes(4096, 16)
+    histogram = np.zeros(len(sizes), np.int64)
+    histogram[np.searchsorted(sizes, length)] = 1_000_000
+    windows = sum(repeats for _, repeats in plan(histogram, sizes))
+    whole = -(-1_000_000 // (4096 // length))  # no plan that leaves documents whole has fewer
+    assert windows <= 1.03 * whole
+
+
 def test_random_documents(spark):
     rng = np.random.default_rng(1)
     ids_of = {i: rng.integers(0, 1000, int(rng.choice([1, 2, 15, 64, 65, 130, 300]))).tolist() for i in range(120)}

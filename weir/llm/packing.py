@@ -1,15 +1,15 @@
 """Packing: window recipes by non-negative least squares against the length histogram, rounded; residuals greedily.
 
 A piece is a whole document, or one window's worth of a longer one and its rest. Piece lengths are counted in
-classes of `step` tokens; a recipe is a shallow combination of classes that fills a window, and least squares with
-non-negative repeat counts fits the recipes to the histogram. Only the histogram (window / step numbers) reaches
-the driver; pieces find their sequence by joining their class and their rank in it with the recipes' rank ranges.
+classes of 1 to `step` tokens, finer for short pieces so that rounding up wastes little of any; a recipe is a shallow
+combination of classes that fills a window, and least squares with non-negative repeat counts fits the recipes to the
+histogram. Only the histogram (a few more than window / step numbers) reaches the driver; pieces find their sequence by joining their class and their rank in it with the recipes' rank ranges.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm.common import ranked, stash
@@ -31,22 +31,49 @@ def cut_pieces(tokens: DataFrame, window: int, end_id: int | None = None) -> Dat
     )
 
 
-def recipes(classes: int) -> np.ndarray:
-    """Shallow combinations of classes 1..classes that fill a window of `classes` units exactly: repeats of one or two
-    classes, and three different ones. A row per recipe, a column per class (column 0 unused)."""
-    found = set()
-    for i in range(1, classes + 1):
-        for a in range(1, min(classes // i, 12) + 1):
-            rest = classes - a * i
-            if rest == 0:
+def size_class(length: Column, step: int) -> Column:
+    """length rounded up to its class: exact up to 4 * step, then to multiples that double with each doubling, up to step."""
+    bits = F.length(F.bin(length - 1)) - step.bit_length() - 1
+    width = F.element_at(F.array(*[F.lit(1 << n) for n in range(step.bit_length())]), F.greatest(F.lit(0), F.least(bits, F.lit(step.bit_length() - 1))) + 1)
+    return (F.ceil(length / width) * width).cast("int")
+
+
+def class_sizes(window: int, step: int) -> np.ndarray:
+    """All values of size_class up to the window, from 0 on."""
+    out, size = [0], 0
+    while size < window:
+        size += 1 << max(0, min(size.bit_length() - step.bit_length() - 1, step.bit_length() - 1))
+        out.append(size)
+    return np.array(out)
+
+
+def recipes(window: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Shallow combinations of classes that fill a window but for 1/256 of it at most: repeats of one or two classes, and
+    three different ones of a sixteenth of the window or more. A row per recipe, a column per class (column 0 unused)."""
+    sizes = np.arange(window + 1) if sizes is None else sizes
+    waste, found = window // 256, set()
+
+    def below(room: int) -> int:
+        return int(np.searchsorted(sizes, room, side="right")) - 1
+
+    for i in range(1, len(sizes)):
+        most = window // int(sizes[i])
+        for a in {*range(1, min(most, 12) + 1), *(n for n in (most, most // 2, most // 4, most // 8) if n)}:
+            rest = window - a * int(sizes[i])
+            if rest <= waste:
                 found.add(((i, a),))
             for b in range(1, 4):
-                if rest and rest % b == 0 and rest // b != i and rest // b <= classes:
-                    found.add(tuple(sorted(((i, a), (rest // b, b)))))
-        for j in range(i + 1, classes):
-            if classes - i - j > j:
-                found.add(((i, 1), (j, 1), (classes - i - j, 1)))
-    out = np.zeros((len(found), classes + 1), np.float32)
+                j = below(rest // b)
+                if j and j != i and rest - b * int(sizes[j]) <= waste:
+                    found.add(tuple(sorted(((i, a), (j, b)))))
+    for i in range(below(window // 16), len(sizes)):
+        for j in range(i + 1, len(sizes)):
+            k = below(window - int(sizes[i] + sizes[j]))
+            if k <= j:
+                break
+            if i and sizes[i] + sizes[j] + sizes[k] >= window - waste:
+                found.add(((i, 1), (j, 1), (k, 1)))
+    out = np.zeros((len(found), len(sizes)), np.float32)
     for n, recipe in enumerate(sorted(found)):
         for c, a in recipe:
             out[n, c] += a
@@ -56,7 +83,7 @@ def recipes(classes: int) -> np.ndarray:
 def nnls(columns: np.ndarray, goal: np.ndarray, rounds: int = 300) -> np.ndarray:
     """x >= 0 that makes |columns.T x - goal| small: accelerated projected gradient, deterministic."""
     x = y = np.zeros(len(columns))
-    if not goal.any():
+    if not goal.any() or not len(columns):
         return x
     v = np.ones(columns.shape[1])
     for _ in range(30):  # the largest singular value bounds the step
@@ -70,11 +97,14 @@ def nnls(columns: np.ndarray, goal: np.ndarray, rounds: int = 300) -> np.ndarray
     return x
 
 
-def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
-    """(pieces by class, repeats) that use up the histogram (counts by class 0..classes) exactly."""
-    classes, left = len(histogram) - 1, histogram.astype(np.int64).copy()
+def plan(histogram: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[dict[int, int], int]]:
+    """(pieces by class, repeats) that use up the histogram (counts by class) exactly. The last class fills a window;
+    without sizes, a class's number is its size."""
+    sizes = np.arange(len(histogram)) if sizes is None else sizes
+    window, left = int(sizes[-1]), histogram.astype(np.int64).copy()
     out = []
-    table = recipes(classes)
+    table = recipes(window, sizes)
+    table = table[~(table[:, left == 0] > 0).any(axis=1)]  # only those that the histogram can serve
     x = nnls(table.astype(np.float64), left.astype(np.float64))
     for n in np.argsort(-x, kind="stable"):
         if x[n] < 0.5:
@@ -87,14 +117,12 @@ def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
                 left[c] -= a * repeats
     while left.any():  # residuals: the largest class first, then always the largest that still fits
         need: dict[int, int] = {}
-        room = classes
-        while room:
-            fits = np.flatnonzero(left[: room + 1] > np.array([need.get(c, 0) for c in range(room + 1)]))
-            if not len(fits):
-                break
-            c = int(fits[-1])
-            need[c] = need.get(c, 0) + 1
-            room -= c
+        room = window
+        for c in np.flatnonzero(left)[::-1].tolist():
+            a = min(int(left[c]), room // int(sizes[c]))
+            if a:
+                need[c] = a
+                room -= a * int(sizes[c])
         repeats = min(int(left[c]) // a for c, a in need.items())
         out.append((need, repeats))
         for c, a in need.items():
@@ -104,18 +132,16 @@ def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
 
 def pack(pieces: DataFrame, window: int, step: int = 16) -> DataFrame:
     """pieces with sequence_id and offset: every piece in one sequence, no sequence longer than the window, offsets
-    gapless from 0. window must be a multiple of step. Empty input: no rows; ties in length go by id and start."""
-    classes = window // step
-    pieces = stash(pieces.withColumn("class", F.ceil(F.col("length") / step).cast("int")), "pieces")
-    counts = dict(pieces.groupBy("class").count().collect())  # at most window / step rows
-    histogram = np.zeros(classes + 1, np.int64)
-    for c, n in counts.items():
-        histogram[c] = n
-    base, used, rows = 0, np.zeros(classes + 1, np.int64), []
-    for need, repeats in plan(histogram):
+    gapless from 0. window must be a multiple of step, and step a power of two. Empty input: no rows; ties in length go by id and start."""
+    sizes = class_sizes(window, step)
+    pieces = stash(pieces.withColumn("class", size_class(F.col("length"), step)), "pieces")
+    counts = dict(pieces.groupBy("class").count().collect())  # at most a row for each size
+    histogram = np.array([counts.get(n, 0) for n in sizes.tolist()], np.int64)
+    base, used, rows = 0, np.zeros(len(sizes), np.int64), []
+    for need, repeats in plan(histogram, sizes):
         slot = 0
         for c in sorted(need, reverse=True):
-            rows.append((c, int(used[c]), int(used[c] + need[c] * repeats), repeats, base, slot))
+            rows.append((int(sizes[c]), int(used[c]), int(used[c] + need[c] * repeats), repeats, base, slot))
             used[c] += need[c] * repeats
             slot += need[c]
         base += repeats
