@@ -117,6 +117,21 @@ def test_many_groups_are_salted(frame, monkeypatch):
     assert sorted((r.id, r.distance) for r in quality_rules(document_statistics(df)).collect()) == want
 
 
+def test_steps_join_by_one_number(frame, monkeypatch):
+    """Estimates are broadcast by one long: by several columns each of them takes a whole page of an executor's memory."""
+    plans, written = [], quality.stash
+
+    def stash(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(quality, "stash", stash)
+    rng = random.Random(9)
+    quality_rules(document_statistics(frame([prose(rng, rng.randrange(30, 90)) for _ in range(40)])))
+    steps = [re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", p) for name, p in plans if name in ("classes", "inside")]
+    assert len(steps) > 2 and all(s and all(re.fullmatch(r"input\[\d+, bigint, \w+\]", k) for k in s) for s in steps)
+
+
 def test_several_starts_can_differ():
     """The determinants decide: of two clusters the narrower majority wins, wherever the mean lies."""
     rng = np.random.default_rng(3)

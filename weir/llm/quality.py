@@ -28,7 +28,10 @@ UNITS = (1000, 100, 1000, 1000)
 #: Standard deviations added to each feature's spread, which keeps covariances regular: most texts repeat nothing at all.
 FLOORS = (0.03, 0.15, 0.05, 0.03)
 PAIRS = [(a, b) for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]
-KEY = ("level", "g0", "g1")
+GROUP = ("level", "g0", "g1")
+#: A group's number. Spark keeps a broadcast table that is joined by one long in what its rows take; by several columns, in
+#: a page of memory (32 MB on an executor of 1.8 GB), and a page for each step stays until the driver collects garbage.
+KEY = ("key",)
 #: Estimates that are broadcast at most (a few MB), and tasks that share a group beyond that.
 FEW, SALTS = 10_000, 32
 #: Documents' worth of the wider estimate that go into a narrower one.
@@ -140,7 +143,7 @@ def _flat(m: np.ndarray) -> list[float]:
 
 _MEAN, _INVERSE = [f"m{a}" for a in range(len(FEATURES))], [f"i{a}{b}" for a, b in PAIRS]
 _SUMS = ["n", *(f"s{a}" for a in range(len(FEATURES))), *(f"p{a}{b}" for a, b in PAIRS)]
-_ESTIMATE = "level int, g0 string, g1 string, start int, n long, " + ", ".join(f"{x} double" for x in _MEAN + _INVERSE) + ", cov array<double>, det double"
+_ESTIMATE = "key long, start int, n long, " + ", ".join(f"{x} double" for x in _MEAN + _INVERSE) + ", cov array<double>, det double"
 _NAMES = [*KEY, "start", "n", *_MEAN, *_INVERSE, "cov", "det"]
 
 
@@ -150,13 +153,13 @@ def _estimate(key: list, n: int, mean: np.ndarray, cov: np.ndarray, det: float |
     return [*key, int(n), *mean.tolist(), *_flat(np.linalg.inv(whole)), _flat(cov), float(np.linalg.slogdet(whole)[1]) if det is None else det]
 
 
-def _met(cells: DataFrame, estimates: DataFrame) -> DataFrame:
-    """cells with their KEY's estimates (a written table). Few of them are broadcast; many are dealt out once a salt, so
+def _met(cells: DataFrame, estimates: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    """cells with their group's estimates (a written table). Few of them are broadcast; many are dealt out once a salt, so
     that a large group is joined and summed in many tasks either way."""
     if estimates.count() <= FEW:
-        return cells.join(F.broadcast(estimates), list(KEY))
+        return cells.join(F.broadcast(estimates), list(by))
     salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS).cast("bigint"))).join(salted, [*KEY, "salt"]).drop("salt")
+    return cells.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS).cast("bigint"))).join(salted, [*by, "salt"]).drop("salt")
 
 
 def _from_sums(sums: DataFrame, factor: float) -> DataFrame:
@@ -168,7 +171,7 @@ def _from_sums(sums: DataFrame, factor: float) -> DataFrame:
             for r in d.itertuples(index=False):
                 mean = np.array([getattr(r, f"s{a}") / r.n for a in range(len(FEATURES))])
                 cov = _matrix([getattr(r, f"p{a}{b}") / r.n - mean[a] * mean[b] for a, b in PAIRS])
-                rows.append(_estimate([r.level, r.g0, r.g1, r.start], r.n, mean, cov * factor))
+                rows.append(_estimate([r.key, r.start], r.n, mean, cov * factor))
             yield pd.DataFrame(rows, columns=_NAMES)
 
     return sums.select(*KEY, "start", *_SUMS).mapInPandas(f, _ESTIMATE)
@@ -196,9 +199,8 @@ def _starts(cells: DataFrame) -> DataFrame:
                 mean = np.array([getattr(r, f"s{a}") / r.n for a in range(len(FEATURES))])
                 cov = _matrix([getattr(r, f"p{a}{b}") / r.n - mean[a] * mean[b] for a, b in PAIRS])
                 signs = _matrix([getattr(r, f"d{a}{b}") / 1e6 / r.away * len(FEATURES) if r.away else 0.0 for a, b in PAIRS])
-                key = [r.level, r.g0, r.g1]
                 for start, (m, c) in enumerate([(med, np.diag(var - floors)), (mean, cov), (med, signs * np.sqrt(np.outer(var, var)))]):
-                    rows.append(_estimate([*key, start], r.n, m, c, math.inf))
+                    rows.append(_estimate([r.key, start], r.n, m, c, math.inf))
             yield pd.DataFrame(rows, columns=_NAMES)
 
     return sums.mapInPandas(f, _ESTIMATE)
@@ -233,14 +235,19 @@ def _concentrated(cells: DataFrame, estimates: DataFrame, share: float) -> DataF
     return _from_sums(half.agg(*[F.sum(x).alias(x) for x in _SUMS]), truncation(share))
 
 
+def _run() -> Column:
+    """One number for a group and a start."""
+    return F.col("key") * 4 + F.col("start")
+
+
 def determinant_estimates(cells: DataFrame, share: float, inner: float) -> DataFrame:
     """cells (KEY, FEATURES, w documents) -> a reweighted estimate for each KEY: (KEY, n, mean, cov), n documents in all."""
     best = stash(_starts(cells).withColumn("moves", F.lit(True)), "estimates")
     while best.where("moves").limit(1).count():
         # a start goes on as long as its determinant falls, which ends, as there are finitely many choices
-        new = _concentrated(cells, best.where("moves"), share).select(*[F.col(c) if c in KEY or c == "start" else F.col(c).alias(f"new_{c}") for c in _NAMES])
-        both = best.join(new, [*KEY, "start"], "left").withColumn("falls", F.coalesce(F.col("new_det") < F.col("det") - 1e-9, F.lit(False)))
-        best = stash(both.select(*KEY, "start", *[F.when(F.col("falls"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in _NAMES[4:]], F.col("falls").alias("moves")), "estimates")
+        new = _concentrated(cells, best.where("moves"), share).select(_run().alias("run"), *[F.col(c).alias(f"new_{c}") for c in _NAMES[len(KEY) + 1 :]])
+        both = best.join(new, _run() == F.col("run"), "left").withColumn("falls", F.coalesce(F.col("new_det") < F.col("det") - 1e-9, F.lit(False)))
+        best = stash(both.select(*KEY, "start", *[F.when(F.col("falls"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in _NAMES[len(KEY) + 1 :]], F.col("falls").alias("moves")), "estimates")
     first = Window.partitionBy(*KEY).orderBy("det", "start")
     best = stash(best.withColumn("place", F.row_number().over(first)).where("place = 1").select(*_NAMES), "estimates")
     inside = _met(cells, best.select(*KEY, "start", *_MEAN, *_INVERSE)).withColumn("inside", _distance() <= chi2(inner))
@@ -287,9 +294,13 @@ def quality_rules(stats: DataFrame, share: float = 0.75, inner: float = 0.975, t
     rows = stash(stats.withColumn("base_failed", base_failed()).select("*", *_features()), "stats")
     none = F.lit("")
     levels = F.array(*[F.struct(F.lit(n).alias("level"), a.alias("g0"), b.alias("g1")) for n, (a, b) in enumerate([(none, none), (F.col("g0"), none), (F.col("g0"), F.col("g1"))])])
-    cells = rows.where("not base_failed").groupBy("g0", "g1", *FEATURES).agg(F.count(F.lit(1)).alias("w"))
-    cells = cells.select(F.inline(levels), *FEATURES, "w").groupBy(*KEY, *FEATURES).agg(F.sum("w").alias("w"))
-    found = stash(determinant_estimates(stash(cells, "cells"), share, inner), "found")
+    good = rows.where("not base_failed")
+    keys = good.select("g0", "g1").distinct().select(F.inline(levels)).distinct()
+    keys = stash(keys.select(F.monotonically_increasing_id().alias("key"), *GROUP), "keys")
+    cells = good.groupBy("g0", "g1", *FEATURES).agg(F.count(F.lit(1)).alias("w"))
+    cells = cells.select(F.inline(levels), *FEATURES, "w").groupBy(*GROUP, *FEATURES).agg(F.sum("w").alias("w"))
+    cells = stash(_met(cells, keys, GROUP).select(*KEY, *FEATURES, "w"), "cells")
+    found = stash(determinant_estimates(cells, share, inner).join(keys, list(KEY)), "found")
 
     groups = rows.select("g0", "g1", F.substring("g0", 1, 0).alias("all")).distinct()  # '' as in the estimate of all
     for level, own in enumerate((["all"], ["g0"], ["g0", "g1"])):
