@@ -29,8 +29,8 @@ UNITS = (1000, 100, 1000, 1000)
 FLOORS = (0.03, 0.15, 0.05, 0.03)
 PAIRS = [(a, b) for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]
 GROUP = ("level", "g0", "g1")
-#: A group's number. Spark keeps a broadcast table that is joined by one long in what its rows take; by several columns, in
-#: a page of memory (32 MB on an executor of 1.8 GB), and a page for each step stays until the driver collects garbage.
+#: A group's number: one long to group and join by. It is meant to keep broadcast tables small; its effect on an executor's
+#: peak is not shown (see README).
 KEY = ("key",)
 #: Estimates that are broadcast at most (a few MB), and tasks that share a group beyond that.
 FEW, SALTS = 10_000, 32
