@@ -66,6 +66,28 @@ def test_random_joins():
         assert bpe.tree(nodes).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_each_piece_is_encoded_once(monkeypatch):
+    """The library sees a word once, whatever stands around it."""
+    bpe, whole, seen = Bpe(WORDS), library(WORDS), []
+    encoded = bpe._encoded
+    monkeypatch.setattr(bpe, "_encoded", lambda pieces: (seen.extend(pieces), encoded(pieces))[1])
+    texts = ["Oferan oferan, (oferan) oferan's", "\"OFERAN\" 7oferan77", "", "oferan's!"]
+    for _ in range(2):
+        assert bpe.encode(texts) == [brute.packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sorted(seen) == sorted([b"oferan", b",", b"(", b")", b"'s", b'"', b"7", b"!"])
+    assert bpe.encode([]) == []
+
+
+def test_latin_pieces_like_the_library():
+    rng, bpe, whole = np.random.default_rng(7), Bpe(WORDS), library(WORDS)
+    bits = ["'ll", "'re", "'ve", "'S", "''s", " 's", "don't", "x'", ".'t", "1'd", "é'm", "'lland", "<|", "|>", "'", "l", "e", " "]
+    every = [chr(c) for c in range(256)]
+    texts = ["".join(rng.choice(a, rng.integers(0, 40))) for a in (bits, every, bits + every) for _ in range(2000)]
+    texts += [x for c in every for x in (c, f"a{c}b", f"{c}'s", f"'s{c}")] + ["'l", "'r", "a'", "'l l"]
+    for text, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert ids == brute.packed(whole.encode(text, add_special_tokens=False).ids), text
+
+
 def test_empty_table(spark, frame):
     df = frame(["x"]).limit(0)
     assert encode(df, WORDS).count() == 0

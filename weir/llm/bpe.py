@@ -9,12 +9,15 @@ encoded independently, and inside one piece a sequence is the encoding if each p
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import struct
 import unicodedata
 from functools import cached_property
+from itertools import compress, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,54 @@ from weir.llm.common import stash
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LEAF = 32_768
-#: Bytes (about) of the chunks between white space that a Python worker remembers, and of an entry beside its text and ids.
+#: Bytes (about) of the pieces that a Python worker remembers, and of an entry beside its text and ids.
 REMEMBERED, ENTRY = 64 << 20, 150
-#: Characters of the texts whose new pieces are encoded in one call.
-TOGETHER = 1_000_000
+#: Bytes of the texts whose new pieces are encoded in one call.
+TOGETHER = 500_000
 #: Rows of a result batch.
 ROWS = 500
 _LOADED: dict[str, Bpe] = {}
 
 
-# What isn't Latin-1, and the separators that Python takes for white space and the pattern doesn't.
-_ODD = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
+#: The pre-tokenizer's pattern that cut_latin follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = [chr(c) for c in range(256)]
+# Latin-1 in lower case, white space (as the pattern has it) as blanks.
+_LOWERED = "".join(" " if c in "\t\n\x0b\x0c\r \x85\xa0" else c.lower() for c in _LATIN).encode("latin-1")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_SPACE if chr(c) == " " else {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(chr(c))[0], _OTHER) for c in _LOWERED], np.uint8)
+# Whether a piece ends between two kinds that aren't white space: 4 * the first + the second.
+_EDGE = np.array([bool(a and b and (a != b or b == _DIGIT)) for a in range(4) for b in range(4)])
+
+
+def cut_latin(texts: list[bytes]) -> list[list[bytes]]:
+    """The pieces of Latin-1 texts in lower case, by PATTERN."""
+    data = np.frombuffer(b" ".join([*texts, b"   "]).translate(_LOWERED), np.uint8)  # blanks at the end: room for 'll
+    kind = _KIND[data]
+    edge = np.zeros(len(data), bool)
+    edge[1:] = _EDGE[kind[:-1] * np.uint8(4) + kind[1:]]
+    at = np.flatnonzero(data == ord("'"))
+    at = at[(at == 0) | (kind[at - 1] != _OTHER)]  # within a run of others, none begins
+    a, b = data[at + 1], data[at + 2]
+    size = np.isin(a, list(b"stmd")) + 2 * ((b == ord("e")) & ((a == ord("r")) | (a == ord("v"))) | (a == ord("l")) & (b == ord("l")))
+    at, size = at[size > 0], size[size > 0]
+    edge[at + 1] = False
+    edge[at + 1 + size] = kind[at + 1 + size] != _SPACE
+    edges = np.flatnonzero(edge)
+    parted = np.insert(data, edges, ord(" ")).tobytes()
+    cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    cuts = (cuts + np.searchsorted(edges, cuts)).tolist()
+    return [parted[i:j].split() for i, j in pairwise(cuts)]
+
+
+def _byte_level() -> str:
+    """What a ByteLevel pre-tokenizer writes for each byte, but for blanks, which stay."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = {c: chr(256 + n) for n, c in enumerate(c for c in range(256) if c not in plain)} | {0x20: " "}
+    return "".join(others.get(c, chr(c)) for c in range(256))
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -51,9 +91,9 @@ class Bpe:
         spec, self.path = self._spec(path), path
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.pattern = self._latin_pattern(spec)
-        self.chunks: dict[str, bytes] = {}  # what stands between white space -> its ids
-        self.held = 0  # bytes of chunks, about
+        self.latin = self._latin(spec)
+        self.pieces: dict[bytes, bytes] = {}  # Latin-1 in lower case -> its ids
+        self.held = 0  # bytes of pieces, about
         size = max([*spec["model"]["vocab"].values(), *self.specials.values()]) + 1
         self.strings = [""] * size
         for s, i in [*spec["model"]["vocab"].items(), *self.specials.items()]:
@@ -85,6 +125,12 @@ class Bpe:
         spec["model"]["end_of_word_suffix"] = None
         return Tokenizer.from_str(json.dumps(spec))
 
+    @cached_property
+    def words(self):
+        """For pieces parted by blanks, their bytes written as the pre-tokenizer does."""
+        spec = self._spec(self.path) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+
     @cached_property
     def normalizer(self):
         return self.whole.normalizer
@@ -96,81 +142,91 @@ class Bpe:
         return _LOADED[path]
 
     @staticmethod
-    def _latin_pattern(spec: dict) -> re.Pattern | None:
-        """The pre-tokenizer's pattern for Latin-1 texts, if this file is of the shape whose steps are simple there:
-        NFC (no effect), white space to a blank (never in a piece), lower case; pieces by one pattern; bytes."""
+    def _latin(spec: dict) -> bool:
+        """Whether this file is of the shape whose steps are simple for Latin-1 texts: NFC (no effect), white space to a
+        blank (never in a piece), lower case; pieces by PATTERN; bytes."""
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"]:
-            return None
+            return False
         if pre[0]["behavior"] != "Removed" or not pre[0]["invert"] or pre[1]["add_prefix_space"] or pre[1]["use_regex"]:
-            return None
-        latin = [chr(c) for c in range(256)]
-        classes = {rf"\p{{{k}}}": "".join(c for c in latin if unicodedata.category(c)[0] == k) for k in "LN"}
-        pattern = pre[0]["pattern"]["Regex"]
-        for name, chars in [*classes.items(), (r"\s", "\t\n\x0b\x0c\r \x85\xa0")]:
-            pattern = pattern.replace(name, chars)
-        return None if "\\" in pattern else re.compile(pattern)
+            return False
+        return pre[0]["pattern"].get("Regex") == PATTERN
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text, little-endian unsigned 32-bit."""
         out: list = [None] * len(texts)
-        group, size = [], 0
+        group, size = {}, 0
         for n, text in enumerate(texts):
-            if self.simple(text):
-                group.append((n, text.lower().split()))
-                size += len(text)
-                if size >= TOGETHER:
-                    self._remembered(group, out)
-                    group, size = [], 0
-            else:
+            data = self.simple(text)
+            if data is None:
                 out[n] = _packed(self.whole.encode(text, add_special_tokens=False).ids)
+                continue
+            group[n] = data
+            size += len(data)
+            if size >= TOGETHER:
+                self._remembered(group, out)
+                group, size = {}, 0
         self._remembered(group, out)
         return out
 
-    def simple(self, text: str) -> bool:
-        """Whether what stands between white space can be encoded for itself, in lower case."""
-        return self.pattern is not None and not _ODD.search(text) and not (self.split and self.split.search(text))
+    def simple(self, text: str) -> bytes | None:
+        """The text in Latin-1 if its pieces can be cut and encoded each for itself, else None."""
+        if not self.latin or self.split and self.split.search(text):
+            return None
+        try:
+            return text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
 
     def encode_part(self, text: str) -> bytes:
         """Ids of a text that is normalised and free of special tokens."""
-        if self.pattern is None or _ODD.search(text):
+        try:
+            data = text.encode("latin-1") if self.latin else None
+        except UnicodeEncodeError:
+            data = None
+        if data is None:
             return _packed(self.part.encode_batch_fast([text], add_special_tokens=False)[0].ids)
         out = [b""]
-        self._remembered([(0, text.split())], out)
+        self._remembered({0: data}, out)
         return out[0]
 
-    def _remembered(self, group: list, out: list) -> None:
-        """White space parts the pieces, so each chunk between it is encoded once and remembered."""
-        chunks = self.chunks
+    def _remembered(self, group: dict[int, bytes], out: list) -> None:
+        """Each piece of the Latin-1 texts is encoded once and remembered."""
+        known, new, open_ = self.pieces, set(), []
+        cut = cut_latin(list(group.values()))
         if self.held > self.remembered:  # keep what is in use
-            kept = {c: chunks[c] for c in set().union(*(c for _, c in group)) & chunks.keys()}
-            chunks.clear()
+            kept = {p: known[p] for p in set().union(*cut) & known.keys()}
+            known.clear()
             self.held = 0
             self._remember(kept)
-        found = [list(map(chunks.get, c)) for _, c in group]
-        new = {w for (_, c), ids in zip(group, found, strict=True) for w, i in zip(c, ids, strict=True) if i is None}
-        if new:
-            parts = {c: self.pattern.findall(c) for c in new}
-            self._remember(self._words([w for w in {w for p in parts.values() for w in p} if w not in chunks]))
-            self._remember({c: b"".join([chunks[w] for w in p]) for c, p in parts.items() if len(p) != 1 or p[0] != c})
-        for (n, c), ids in zip(group, found, strict=True):
-            out[n] = b"".join([i if i is not None else chunks[w] for w, i in zip(c, ids, strict=True)])
-
-    def _remember(self, new: dict[str, bytes]) -> None:
-        self.held += sum(len(c) + len(i) for c, i in new.items()) + ENTRY * len(new)
-        self.chunks.update(new)
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each a piece of its own: all in one call, parted after the tokens that end a word."""
-        if not words:
+        for n, pieces in zip(group, cut, strict=True):
+            ids = list(map(known.get, pieces))
+            if all(ids):  # a piece has ids, so only None is false
+                out[n] = b"".join(ids)
+            else:
+                new.update(compress(pieces, map(not_, ids)))
+                open_.append((n, pieces, ids))
+        self._remember(self._encoded(list(new)))
+        for n, pieces, ids in open_:
+            out[n] = b"".join([i or known[p] for p, i in zip(pieces, ids, strict=True)])
+
+    def _remember(self, new: dict[bytes, bytes]) -> None:
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + ENTRY * len(new)
+        self.pieces.update(new)
+
+    def _encoded(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces: all in one call, parted after the tokens that end a word."""
+        if not pieces:
             return {}
-        ids = np.array(self.part.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        text = b" ".join(pieces).decode("latin-1")
+        text = codecs.charmap_decode(text.encode(), "strict", _BYTE_LEVEL)[0]
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(words):
-            return {w: _packed(e.ids) for w, e in zip(words, self.part.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        if len(ends) != len(pieces):
+            return {p: _packed(e.ids) for p, e in zip(pieces, self.words.encode_batch_fast(text.split(" "), add_special_tokens=False), strict=True)}
         data = ids.astype("<u4").tobytes()
-        return {w: data[4 * i : 4 * j] for w, i, j in zip(words, [0, *ends[:-1]], ends, strict=True)}
+        return {p: data[4 * i : 4 * j] for p, i, j in zip(pieces, [0, *ends[:-1]], ends, strict=True)}
 
     def decode(self, ids: bytes) -> str:
         ids = np.frombuffer(ids, "<u4").tolist()
@@ -182,7 +238,7 @@ class Bpe:
 
     def segments(self, text: str):
         """(special id or None, normalised text): special tokens stand alone, as in the library."""
-        if self.simple(text):
+        if self.simple(text) is not None:
             yield None, text.lower()
             return
         for piece in self.split.split(text) if self.split else [text]:
